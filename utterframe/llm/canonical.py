@@ -16,6 +16,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from utterframe.llm.characters import phonetic_form, syllabary_form
 from utterframe.session import table
@@ -24,7 +25,7 @@ COLLATION = "UNICODE"
 FORMS = {"phonetic": phonetic_form, "syllabary": syllabary_form}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def mapped_form(pairs: pd.DataFrame) -> pd.Series:
     return pd.Series([FORMS[k](v) for k, v in zip(pairs["kind"], pairs["value"])], dtype=object)
 

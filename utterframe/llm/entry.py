@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ("canonical", "leaks")
+NAMES = ("canonical", "leaks", "overlaps")
 
 
 def modules() -> list[ModuleType]:
