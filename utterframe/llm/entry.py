@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ("canonical", "leaks", "overlaps")
+NAMES = ("chunks", "mixture", "canonical", "overlaps", "leaks")
 
 
 def modules() -> list[ModuleType]:
