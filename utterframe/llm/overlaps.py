@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utterframe.llm.characters import phonetic_form, syllabary_form
-from utterframe.session import table
+from utterframe.session import cut_lineage, table
 
 MAX_EDIT = 0.15
 MIN_WORDS = 4
@@ -133,19 +133,20 @@ def classes(rows: DataFrame, field: str, min_words: int = MIN_WORDS) -> DataFram
 
 
 def candidates(found: DataFrame, field: str) -> DataFrame:
-    """Distinct (e_tid, t_tid) of an evaluation and a training class that share a bucket."""
-    schema = "tid bigint, t_any boolean, t_lone boolean, e_any boolean, e_lone boolean, keys array<bigint>"
-    signed = found.select("text", "tid", "t_any", "t_lone", "e_any", "e_lone").mapInPandas(lambda b: _signed(field, b), schema)
+    """Distinct (e_tid, t_tid) of an evaluation and a training class that share a bucket.
 
-    def side(where: str, name: str, salt: int) -> DataFrame:
-        part = signed.where(where).select(F.col("tid").alias(name), F.explode("keys").alias("key"))
-        return part.withColumn("key", F.col("key") + salt)
+    Each side hashes its own classes. Keys are even for the pairing of a lone evaluation class with
+    any training class, odd for that of any evaluation class with a lone training class.
+    """
+
+    def side(x: str, even: str, odd: str) -> DataFrame:
+        schema = "tid bigint, any boolean, lone boolean, keys array<bigint>"
+        signed = found.where(f"{x}_any").select("text", "tid", F.col(f"{x}_any").alias("any"), F.col(f"{x}_lone").alias("lone")).mapInPandas(lambda b: _signed(field, b), schema)
+        key = lambda flag, bit: F.when(F.col(flag), F.transform("keys", lambda k: F.shiftleft(k, 1).bitwiseOR(F.lit(bit).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+        keys = key(even, 0) if field == "s" else F.concat(key(even, 0), key(odd, 1))
+        return signed.select(F.col("tid").alias(f"{x}_tid"), F.explode(keys).alias("key"))
 
-    evaluation, training = side("e_lone", "e_tid", 0), side("t_any", "t_tid", 0)
-    if field == "g":
-        evaluation = evaluation.unionAll(side("e_any", "e_tid", 1))
-        training = training.unionAll(side("t_lone", "t_tid", 1))
-    return evaluation.join(training, "key").select("e_tid", "t_tid").where("e_tid <> t_tid").distinct()
+    return side("e", "lone", "any").join(side("t", "any", "lone"), "key").select("e_tid", "t_tid").where("e_tid <> t_tid").distinct()
 
 
 def _shingle_set(text: str, q: int) -> Column:
@@ -158,22 +159,24 @@ def near_classes(rows: DataFrame, field: str, max_edit: float = MAX_EDIT, min_wo
     text = lambda x: found.select(F.col("tid").alias(f"{x}_tid"), F.col("text").alias(f"{x}_text"))
     pairs = candidates(found, field).join(text("e"), "e_tid").join(text("t"), "t_tid").select("e_text", "t_text")
     q = SHINGLES[field][0]
-    longest = F.greatest(F.length("e_text"), F.length("t_text"))
-    pairs = pairs.withColumn("k", F.floor(longest * max_edit + 1e-9).cast("int"))
+    pairs = pairs.withColumn("k", F.floor(F.greatest(F.length("e_text"), F.length("t_text")) * max_edit + 1e-9).cast("int"))
     pairs = pairs.where(F.abs(F.length("e_text") - F.length("t_text")) <= F.col("k"))
+    # The banded distance is cheaper than the shingle sets, so it goes first; -1: beyond k.
+    pairs = pairs.withColumn("distance", F.expr("levenshtein(e_text, t_text, k)")).where("distance >= 0")
     pairs = pairs.withColumn("ea", _shingle_set("e_text", q)).withColumn("ta", _shingle_set("t_text", q))
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect("ea", "ta"))).withColumn("total", F.size("ea") + F.size("ta"))
-    pairs = pairs.withColumn("jaccard", F.col("shared") / (F.col("total") - F.col("shared")))
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("ea", "ta")))
     pairs = pairs.where(F.col("shared") >= F.greatest(F.size("ea"), F.size("ta")) - q * F.col("k"))
-    pairs = pairs.withColumn("distance", F.levenshtein("e_text", "t_text"))
-    near = pairs.where("distance <= k").select("e_text", "t_text", "distance", "jaccard")
+    near = pairs.select("e_text", "t_text", "distance", (F.col("shared") / (F.size("ea") + F.size("ta") - F.col("shared"))).alias("jaccard"))
     same = found.where("e_any and t_any and (e_lone or t_lone)").select(F.col("text").alias("e_text"), F.col("text").alias("t_text"), F.lit(0).alias("distance"), F.lit(1.0).alias("jaccard"))
     return near.unionAll(same)
 
 
 def overlapping(rows: DataFrame, max_edit: float = MAX_EDIT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(e_id, t_id, distance, jaccard): pairs of an evaluation and a training sample."""
-    out = None
+    """(e_id, t_id, distance, jaccard): pairs of an evaluation and a training sample.
+
+    The prepared rows are read many times, so they are written to the checkpoint folder once.
+    """
+    rows, out = cut_lineage(rows), None
     for field in ("s", "g"):
         near = near_classes(rows, field, max_edit, min_words)
         has = rows.where(f"{field} is not null")
