@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ("chunks", "mixture", "canonical", "overlaps", "leaks")
+NAMES = ("chunks", "mixture", "languages", "canonical", "overlaps", "leaks")
 
 
 def modules() -> list[ModuleType]:
