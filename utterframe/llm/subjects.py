@@ -38,6 +38,8 @@ LEAST_DOCS, ROUNDS, FREE_AFTER, SEED_REST = 5, 30, 28, 0.1
 #: A term is a subject's if this share of it is; in a context, if that share is.
 TERM_SHARE, CONTEXT_SHARE, PRIOR, LEAST_CONTEXT = 0.5, 0.35, 2.0, 5
 MIN_SENTENCES = 2
+#: Entries of the document-term matrix that are held at once with all components.
+BLOCK = 20_000
 #: The language that documents without a usable label start with; the terms move them.
 COMMON = "en"
 # Endings that a Cherokee word may carry here.
@@ -142,56 +144,56 @@ class Lexicon:
 
 
 class Sparse:
-    """Counts of a document-term matrix."""
+    """Counts of a document-term matrix, in blocks of documents, so that the components of few
+    entries are held at once."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, shape: tuple[int, int]):
-        key, self.count = np.unique(row.astype(np.int64) * shape[1] + col, return_counts=True)
-        self.row, self.col, self.shape = key // shape[1], key % shape[1], shape
-        self.by_col = np.argsort(self.col, kind="stable")
-        self.row_heads = np.searchsorted(self.row, np.arange(shape[0]))
-        self.col_heads = np.searchsorted(self.col[self.by_col], np.arange(shape[1]))
-
-    def fold_rows(self, x: np.ndarray) -> np.ndarray:
-        return _segments(x, self.row_heads)
-
-    def fold_cols(self, x: np.ndarray) -> np.ndarray:
-        return _segments(x[self.by_col], self.col_heads)
-
-
-def _segments(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Sums of consecutive stretches of rows; empty stretches give 0."""
-    out = np.add.reduceat(np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)]), heads, axis=0)
-    out[np.r_[heads[1:], len(x)] == heads] = 0
-    return out
-
-
-def responsibilities(v: Sparse, w: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Counts of each entry, shared among the components: V * W H / (WH), by entry."""
-    x = w[v.row] * h.T[v.col]
-    return x * (v.count / np.maximum(x.sum(axis=1), 1e-12))[:, None]
+        key, count = np.unique(row.astype(np.int64) * shape[1] + col, return_counts=True)
+        rows, cols = key // shape[1], key % shape[1]
+        self.shape, self.blocks = shape, []
+        self.docs_of_col = np.bincount(cols, minlength=shape[1])
+        self.total_of_col = np.bincount(cols, count, shape[1])
+        lo = 0
+        while lo < len(rows):
+            hi = int(np.searchsorted(rows, rows[min(lo + BLOCK, len(rows)) - 1], "right"))
+            r, c = rows[lo:hi], cols[lo:hi]
+            r_heads, c_order = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]), np.argsort(c, kind="stable")
+            sorted_c = c[c_order]
+            c_heads = np.flatnonzero(np.r_[True, sorted_c[1:] != sorted_c[:-1]])
+            self.blocks.append((r, c, count[lo:hi].astype(np.float32), r_heads, r[r_heads], c_order, c_heads, sorted_c[c_heads]))
+            lo = hi
+
+    def shared(self, w: np.ndarray, ht: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Counts V * WH / (WH), shared among the components: their sums by document and by term.
+
+        `ht` is the transpose of H; without it the counts are shared by W alone.
+        """
+        by_row, by_col = np.zeros(w.shape, np.float32), np.zeros((self.shape[1], w.shape[1]), np.float32)
+        for r, c, count, r_heads, r_of, c_order, c_heads, c_of in self.blocks:
+            x = w[r] if ht is None else w[r] * ht[c]
+            x *= (count / np.maximum(x.sum(axis=1), 1e-12))[:, None]
+            by_row[r_of] = np.add.reduceat(x, r_heads, axis=0)
+            by_col[c_of] += np.add.reduceat(x[c_order], c_heads, axis=0)
+        return by_row, by_col
 
 
 def factor(v: Sparse, seeds: np.ndarray, mask: np.ndarray, rounds: int = ROUNDS, free_after: int = FREE_AFTER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(W, H, counts of terms by component) by multiplicative updates from the seeds.
+    """(W, transpose of H, counts of terms by component) by multiplicative updates from the seeds.
 
     `mask` anchors: a document keeps to the components that it gives weight. The last rounds are
     free, too few to drift, so that terms can overrule a label.
     """
-    w = seeds / seeds.sum(axis=1, keepdims=True)
-    base = v.fold_cols(v.count[:, None].astype(float))
-    h = None
+    w = (seeds / seeds.sum(axis=1, keepdims=True)).astype(np.float32)
+    rest = (1e-3 * v.total_of_col / max(1.0, v.total_of_col.sum())).astype(np.float32)[:, None]
+    # The anchored components start from their seeded documents alone.
+    counts = v.shared(w, None)[1] + rest
     for i in range(rounds):
-        if h is None:
-            # The anchored components start from their seeded documents alone.
-            r = w[v.row] * v.count[:, None]
-            counts = v.fold_cols(r) + 1e-3 * base / base.sum()
-        else:
-            r = responsibilities(v, w, h)
-            counts = v.fold_cols(r)
-            w = v.fold_rows(r) * (mask if i < free_after else 1.0)
-            w = (w + 1e-6) / (w + 1e-6).sum(axis=1, keepdims=True)
-        h = (counts / np.maximum(counts.sum(axis=0), 1e-12)).T
-    return w, h, v.fold_cols(responsibilities(v, w, h))
+        ht = counts / np.maximum(counts.sum(axis=0), 1e-12)
+        by_row, counts = v.shared(w, ht)
+        w = by_row * (mask if i < free_after else 1.0) + 1e-6
+        w = (w / w.sum(axis=1, keepdims=True)).astype(np.float32)
+    ht = counts / np.maximum(counts.sum(axis=0), 1e-12)
+    return w, ht, v.shared(w, ht)[1]
 
 
 class SubjectModel:
@@ -199,7 +201,7 @@ class SubjectModel:
 
     def __init__(self, subjects: list[str], lexicon: Lexicon):
         self.subjects, self.lexicon = subjects, lexicon
-        self.components = np.zeros((len(subjects), 0))
+        self.components = np.zeros((0, len(subjects)), np.float32)
         self.term_subject = np.zeros(0, np.int64)
         self.context_keys = np.zeros(0, np.int64)
         self.context_shares = np.zeros((0, len(subjects)))
@@ -218,12 +220,12 @@ class SubjectModel:
         known = ids >= 0
         size = len(lex.ids)
         v = Sparse(doc[known], ids[known], (len(texts), size))
-        w, h, counts = factor(v, seeds, mask)
+        w, ht, counts = factor(v, seeds, mask)
         total = counts.sum(axis=1)
         share = self._by_subject(counts) / (total + PRIOR)[:, None]
         self.term_subject = np.where(share.max(axis=1) >= TERM_SHARE, share.argmax(axis=1), -1)
-        self.components, self.term_share = h, share
-        self._contexts(ids, doc, sentence, w, h, len(texts))
+        self.components, self.term_share = ht, share
+        self._contexts(ids, doc, sentence, w, len(texts))
         return self
 
     def seeds(self, given: list[list[str]], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +275,7 @@ class SubjectModel:
     def _same_subject(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a >= 0) & (self.term_subject[np.maximum(a, 0)] == self.term_subject[b])
 
-    def _contexts(self, ids: np.ndarray, doc: np.ndarray, sentence: np.ndarray, w: np.ndarray, h: np.ndarray, n_docs: int) -> None:
+    def _contexts(self, ids: np.ndarray, doc: np.ndarray, sentence: np.ndarray, w: np.ndarray, n_docs: int) -> None:
         at = np.flatnonzero(self._candidates(ids))
         if not len(at):
             return
@@ -283,12 +285,12 @@ class SubjectModel:
         distinct, col = np.unique(keys, return_inverse=True)
         v = Sparse(owner, col, (n_docs, len(distinct)))
         # A context starts from its documents' mixtures, and the mixtures stay fixed.
-        hc = np.ones((w.shape[1], len(distinct))) / len(distinct)
+        hc = np.full((len(distinct), w.shape[1]), 1 / len(distinct), np.float32)
         for _ in range(10):
-            counts = v.fold_cols(responsibilities(v, w, hc))
-            hc = counts.T / np.maximum(w.sum(axis=0), 1e-12)[:, None]
+            counts = v.shared(w, hc)[1]
+            hc = counts / np.maximum(w.sum(axis=0), 1e-12)
         total = counts.sum(axis=1)
-        enough = np.bincount(v.col, minlength=len(distinct)) >= LEAST_CONTEXT
+        enough = v.docs_of_col >= LEAST_CONTEXT
         self.context_keys = distinct[enough]
         self.context_shares = (self._by_subject(counts) / np.maximum(total, 1e-12)[:, None])[enough]
 
@@ -309,12 +311,10 @@ class SubjectModel:
         """(text, component): the documents' half of the alternating update."""
         ids, doc, _ = self.lexicon.numbers(texts)
         known = ids >= 0
-        w = np.full((len(texts), len(self.components)), 1 / max(1, len(self.components)))
-        if not known.any():
-            return w
+        w = np.full((len(texts), self.components.shape[1]), 1 / self.components.shape[1], np.float32)
         v = Sparse(doc[known], ids[known], (len(texts), len(self.lexicon.ids)))
         for _ in range(rounds):
-            w = v.fold_rows(responsibilities(v, w, self.components)) + 1e-6
+            w = v.shared(w, self.components)[0] + 1e-6
             w /= w.sum(axis=1, keepdims=True)
         return w
 
