@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ("chunks", "mixture", "languages", "canonical", "overlaps", "leaks", "subjects")
+NAMES = ("chunks", "mixture", "languages", "canonical", "overlaps", "packing", "leaks", "subjects")
 
 
 def modules() -> list[ModuleType]:
