@@ -9,7 +9,7 @@ and the confidence below which a text gets no language (`und`) are set on held-o
 Scoring covers every paragraph of every document. A word's influence on the mean is bounded, so
 that a quoted word or short aside does not decide.
 
-Defined results: null or empty texts have no paragraph; a paragraph without a letter is `und` with
+Defined results: null ids and null or empty texts have no paragraph; a paragraph without a letter is `und` with
 confidence 0; a label that names none of the languages makes every paragraph a case; equal rows
 count once; without any labelled document there is no model and no row for documents; an empty
 table gives an empty result; other columns are ignored.
@@ -250,7 +250,7 @@ def _scored(sent, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def training_rows(documents: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[str, str]]:
     """At most `max_train` labelled documents, the same ones in every run."""
-    rows = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("label is not null and text is not null")
+    rows = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("label is not null and text is not null and doc_id is not null")
     top = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     return [(r.text, r.label) for r in sorted(top.collect(), key=lambda r: r.doc_id)]
 
@@ -264,7 +264,7 @@ def paragraph_languages(documents: DataFrame, model: Model | None = None) -> Dat
     if model is None:
         return spark.createDataFrame([], schema)
     sent = spark.sparkContext.broadcast(model)
-    rows = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label"))
+    rows = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("doc_id is not null and text is not null")
     return rows.mapInPandas(lambda b: _scored(sent, b), schema)
 
 

@@ -6,7 +6,7 @@ vocabulary, runs of at least n known words are cut into windows and looked up, a
 verified word by word, as the key of the set is the window itself. Documents are scanned whole, in
 one pass and without a shuffle.
 
-Defined results: documents and items with null text hold nothing; items of fewer than n words are
+Defined results: documents and items with null text or id are left out; items of fewer than n words are
 never found; equal rows count once; ties between items that share a passage give one row each; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -146,7 +146,7 @@ def _item_blocks(items: DataFrame, n: int, max_grams: int) -> list[list[tuple[in
     max_grams words, so nothing grows with the corpus.
     """
     blocks, words = [[]], 0
-    for row in items.where("text is not null").select("item_id", "text").distinct().toLocalIterator():
+    for row in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().toLocalIterator():
         size = len(words_of(row.text))
         if size < n:
             continue
@@ -160,7 +160,7 @@ def _item_blocks(items: DataFrame, n: int, max_grams: int) -> list[list[tuple[in
 
 def _scan(documents: DataFrame, items: DataFrame, run: Callable, schema: str, n: int = N, max_grams: int = MAX_GRAMS) -> DataFrame:
     sc, out = documents.sparkSession.sparkContext, None
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     for block in _item_blocks(items, n, max_grams):
         sent = sc.broadcast(block)
         part = docs.mapInPandas(lambda batches, sent=sent: run(lambda: Grams(sent.value, n), batches), schema)

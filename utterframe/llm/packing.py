@@ -14,7 +14,7 @@ by the capacity and the number of partitions.
 A document longer than a container fills containers of its own with whole pieces; what is left of it
 is packed like a document. Nothing else is split.
 
-Defined results: null or empty texts, of no tokens, go nowhere; equal rows count once; equal sizes
+Defined results: null ids and null or empty texts, of no tokens, go nowhere; equal rows count once; equal sizes
 are served in the order of the sort; capacities that are null or not positive are ignored; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -49,7 +49,7 @@ def token_lengths(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
     """(doc_id, n_tokens) under a public tokenizer, given as a file of ranks."""
     with open(tokenizer, "rb") as f:
         sent = documents.sparkSession.sparkContext.broadcast(f.read())
-    return documents.select("doc_id", "text").mapInPandas(lambda b: _lengths(sent, b), "doc_id bigint, n_tokens bigint")
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(lambda b: _lengths(sent, b), "doc_id bigint, n_tokens bigint")
 
 
 class Gaps:

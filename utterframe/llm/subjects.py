@@ -13,7 +13,7 @@ every document is scored. A document's mixture is its half of the alternating up
 make a subject. Cherokee words of the glossary, in either script and with or without an ending,
 count as their English term.
 
-Defined results: null or empty texts have no subject; labels that are null, repeated, of unknown
+Defined results: null ids and null or empty texts have no subject; labels that are null, repeated, of unknown
 documents or of unknown subjects seed nothing; without any label there is no subject; equal rows
 count once; an empty table gives an empty result; other columns are ignored.
 """
@@ -361,7 +361,7 @@ def document_subjects(documents: DataFrame, model: SubjectModel | None) -> DataF
     if model is None:
         return documents.sparkSession.createDataFrame([], schema)
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.select("doc_id", "text").mapInPandas(lambda b: _sentences(sent, b), schema)
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(lambda b: _sentences(sent, b), schema)
 
 
 def document_mixtures(documents: DataFrame, model: SubjectModel | None) -> DataFrame:
@@ -370,7 +370,7 @@ def document_mixtures(documents: DataFrame, model: SubjectModel | None) -> DataF
     if model is None:
         return documents.sparkSession.createDataFrame([], schema)
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.select("doc_id", "text").mapInPandas(lambda b: _mixtures(sent, b), schema)
+    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(lambda b: _mixtures(sent, b), schema)
 
 
 def _model(spark: SparkSession, sf_dir: str) -> SubjectModel | None:
