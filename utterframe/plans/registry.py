@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
 from types import ModuleType
 
+NAMES = ("interval_queries", "metric_queries")
 
-def modules() -> list[ModuleType]:
-    from utterframe.plans import interval_queries
 
-    return [interval_queries]
+def modules() -> list[ModuleType]:
+    return [importlib.import_module(f"utterframe.plans.{name}") for name in NAMES]
