@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from utterframe.functions.maths import log_add, negative_log, noise_gain, relative_improvement
-from utterframe.functions.text import ascii_form
 from utterframe.operators.aggregates import conditional_probabilities, corpus_rate, distribution_summary, improvement_summary, log_costs, rollup_rate, row_rate
 from utterframe.operators.interval_union import interval_periods
 from utterframe.operators.ranking import best_of_each, first_per, length_batches, tiered_best
@@ -118,7 +117,7 @@ def agg25_composite_score(spark: SparkSession, d: str) -> DataFrame:
     return df.select("record_id", F.round(0.5 * F.col("raw_cer") + 0.5 * F.col("reconciled_cer"), 6).alias("score")).where("score is not null")
 
 
-def _bigrams(spark: SparkSession, d: str) -> DataFrame:
+def syllable_bigrams(spark: SparkSession, d: str) -> DataFrame:
     """Counts of a syllable and the one after it."""
     df = table(spark, d, "enrichment_records").select("record_id", F.regexp_replace("syllabary_text", r"[^\x{13A0}-\x{13F5}]", "").alias("t")).where("length(t) > 1").distinct()
     pairs = F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.struct(F.substring("t", i, F.lit(1)).alias("src"), F.substring("t", i + 1, F.lit(1)).alias("tgt")))
@@ -126,12 +125,12 @@ def _bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg10_conditional_probabilities(spark: SparkSession, d: str) -> DataFrame:
-    out = conditional_probabilities(_bigrams(spark, d), "src", "tgt", "n", alpha=0.5)
+    out = conditional_probabilities(syllable_bigrams(spark, d), "src", "tgt", "n", alpha=0.5)
     return out.select("src", "tgt", "n", F.round("p", 9).alias("p"))
 
 
 def mth02_log_costs(spark: SparkSession, d: str) -> DataFrame:
-    probs = conditional_probabilities(_bigrams(spark, d), "src", "tgt", "n", alpha=0.5)
+    probs = conditional_probabilities(syllable_bigrams(spark, d), "src", "tgt", "n", alpha=0.5)
     return log_costs(probs, "src", "tgt", 1e-4, 20, 1.0).select("src", "tgt", F.round("cost", 9).alias("cost"))
 
 
@@ -159,8 +158,6 @@ def mth09_noise_gain(spark: SparkSession, d: str) -> DataFrame:
 def srt02_ranked_sources(spark: SparkSession, d: str) -> DataFrame:
     """Splits ranked by their error rates, the best first."""
     df = records(spark, d).where("split is not null").groupBy("split").agg(F.round(F.sum(F.levenshtein("ref", "rec")) / F.sum(F.length("ref")), 6).alias("new_cer"), F.round(F.sum(F.levenshtein("ref", "hyp")) / F.sum(F.length("ref")), 6).alias("cer"))
-    from pyspark.sql import Window
-
     # One row per split: a window over a handful of rows.
     return df.withColumn("place", F.row_number().over(Window.orderBy("new_cer", "cer", "split")).cast("bigint"))
 
@@ -179,11 +176,11 @@ def srt04_length_batches(spark: SparkSession, d: str) -> DataFrame:
 
 def srt06_top_successors(spark: SparkSession, d: str) -> DataFrame:
     """The three likeliest syllables after each."""
-    return first_per(_bigrams(spark, d), ["src"], [F.desc("n"), F.col("tgt")], 3)
+    return first_per(syllable_bigrams(spark, d), ["src"], [F.desc("n"), F.col("tgt")], 3)
 
 
 def srt07_argmax_successor(spark: SparkSession, d: str) -> DataFrame:
-    return _bigrams(spark, d).groupBy("src").agg(F.min_by("tgt", F.struct(-F.col("n"), F.col("tgt"))).alias("tgt"), F.max("n").alias("n"))
+    return syllable_bigrams(spark, d).groupBy("src").agg(F.min_by("tgt", F.struct(-F.col("n"), F.col("tgt"))).alias("tgt"), F.max("n").alias("n"))
 
 
 def srt10_examples(spark: SparkSession, d: str) -> DataFrame:
@@ -213,13 +210,13 @@ QUERIES = {f.__name__: f for f in (
 
 _W, _R, _C = f"with {WORDS_SQL}", f"with {RECORDS_SQL}", f"with {CHUNKS_SQL}"
 _CER = "case when length(ref) = 0 then case when length(hyp) > 0 then 1.0 else 0.0 end else levenshtein(ref, hyp) / length(ref) end"
-_BIGRAMS = """with texts as (
+BIGRAMS_SQL = """with texts as (
   select distinct record_id, regexp_replace(syllabary_text, '[^Ꭰ-Ᏽ]', '', 'g') as t from enrichment_records
 ), bigrams as (
   select src, tgt, count(*) as n from (
     select substring(t, i, 1) as src, substring(t, i + 1, 1) as tgt from (select t, unnest(range(1, length(t))) as i from texts where length(t) > 1)) group by all
 )"""
-_COND = _BIGRAMS + """, dense as (
+_COND = BIGRAMS_SQL + """, dense as (
   select s.src, t.tgt, coalesce(n, 0) as n, (select count(distinct tgt) from bigrams) as v
   from (select distinct src from bigrams) s cross join (select distinct tgt from bigrams) t left join bigrams b on b.src = s.src and b.tgt = t.tgt
 ), probs as (
@@ -278,8 +275,8 @@ select *, row_number() over (order by new_cer, cer, split) as place from a""",
 select split, arg_min(record_id, (a, record_id)) as best_clean, arg_min(record_id, (b, record_id)) as best_noisy, arg_min(record_id, (a + b, record_id)) as best_both from a group by split""",
     "srt04_length_batches": """with f as (select dataset_name, target_rel_path, max(case when duration_sec > 0 then cast(round(duration_sec * 1000) as bigint) end) as ms from packaged_audio group by all)
 select *, (row_number() over (partition by dataset_name order by ms, target_rel_path) - 1) // 8 as batch_no from f where ms is not null""",
-    "srt06_top_successors": _BIGRAMS + " select * from bigrams qualify row_number() over (partition by src order by n desc, tgt) <= 3",
-    "srt07_argmax_successor": _BIGRAMS + " select src, arg_min(tgt, (-n, tgt)) as tgt, max(n) as n from bigrams group by src",
+    "srt06_top_successors": BIGRAMS_SQL + " select * from bigrams qualify row_number() over (partition by src order by n desc, tgt) <= 3",
+    "srt07_argmax_successor": BIGRAMS_SQL + " select src, arg_min(tgt, (-n, tgt)) as tgt, max(n) as n from bigrams group by src",
     "srt10_examples": _R + f""", a as (select {_OUTCOME.format(x='rec')} as category, record_id, min(case when split = 'test' then 0 when split in ('valid', 'validation', 'dev', 'eval') then 1 else 2 end) as prio from records group by all)
 select * from a qualify row_number() over (partition by category order by prio, record_id) <= 3""",
     "srt12_best_profile": _C + """, a as (select source_id, profile, max(ce - cs) as longest, count(*) as n from chunks group by all)
