@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The syllables of the Cherokee block from U+13A0 on, in its order.
 SYLLABLES = (
@@ -125,27 +129,66 @@ def dg_to_tth(text: Column) -> Column:
     return normalize_text(standardize_glottals(respell_consonants(low)))
 
 
+_PHONEME = re.compile(PHONEME_PATTERN, re.IGNORECASE)
+_CONSONANTS = {"plain_stop", "aspirated_stop", "plain_sonorant", "voiceless_sonorant", "sibilant", "sibilant_cluster"}
+_SPANS = T.ArrayType(T.StructType([T.StructField("symbol", T.StringType()), T.StructField("category", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def _spans(text: str) -> list[tuple[str, str, int, int]]:
+    return [(m.group(), _CATEGORY.get(m.group().lower(), "other"), m.start(), m.end()) for m in _PHONEME.finditer(text)]
+
+
 def phonemes(text: Column) -> Column:
-    """array<struct<symbol, category, start, end>> by longest match."""
-    symbols = F.regexp_extract_all(text, F.lit(f"({PHONEME_PATTERN})"), 1)
-    upto = F.transform(symbols, lambda s, i: F.aggregate(F.slice(symbols, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)))
-    return F.transform(
-        symbols,
-        lambda s, i: F.struct(s.alias("symbol"), F.coalesce(F.element_at(_map(_CATEGORY), F.lower(s)), F.lit("other")).alias("category"), (F.get(upto, i) - F.length(s)).alias("start"), F.get(upto, i).alias("end")),
-    )
+    """array<struct<symbol, category, start, end>> by longest match.
+
+    Offsets need the symbols before them, which nested array functions would find again for each.
+    """
+
+    @F.pandas_udf(_SPANS)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [dict(zip(("symbol", "category", "start", "end"), x)) for x in _spans(t)] for t in texts], dtype=object)
+
+    return run(text)
 
 
 def valid_phonotactics(text: Column) -> Column:
     """No two laryngeals together, no glottal stop after a consonant, no stop before a voiceless sonorant."""
-    p = F.transform(F.regexp_extract_all(text, F.lit(f"({PHONEME_PATTERN})"), 1), lambda s: F.struct(s.alias("s"), F.coalesce(F.element_at(_map(_CATEGORY), F.lower(s)), F.lit("other")).alias("c")))
-    nexts = F.transform(p, lambda x, i: F.struct(x.s.alias("s"), x.c.alias("c"), F.get(p, i + 1).s.alias("t"), F.get(p, i + 1).c.alias("d")))
 
-    def bad(x: Column) -> Column:
-        ends, starts = x.s.rlike("[h']$"), x.t.rlike("^[h']")
-        consonant = ~x.c.isin("vowel", "other", "laryngeal_fricative", "glottal_stop")
-        return x.t.isNotNull() & (ends & starts | consonant & x.t.startswith("'") | x.c.isin("plain_stop", "aspirated_stop") & (x.d == "voiceless_sonorant"))
+    def bad(a: tuple, b: tuple) -> bool:
+        if a[0][-1] in "h'" and b[0][0] in "h'":
+            return True
+        return a[1] in _CONSONANTS and b[0][0] == "'" or a[1].endswith("stop") and a[1] != "glottal_stop" and b[1] == "voiceless_sonorant"
+
+    @F.pandas_udf(T.BooleanType())
+    def run(texts: pd.Series) -> pd.Series:
+        spans = [None if t is None else _spans(t) for t in texts]
+        return pd.Series([None if s is None else not any(map(bad, s, s[1:])) for s in spans], dtype=object)
+
+    return run(text)
+
+
+def _mask(spans: list[tuple], letter: bool, chosen: list[bool], text: str) -> list[bool]:
+    if not letter:
+        return chosen
+    out = [False] * len(text)
+    for (_, _, a, b), c in zip(spans, chosen):
+        out[a:b] = [c] * (b - a)
+    return out
+
+
+def syncope_mask(text: str, letter: bool = True) -> list[bool]:
+    """Vowels that speech may drop: between two consonants of one word."""
+    s = _spans(text)
+    kind = [x[1] for x in s]
+    inner = [0 < i < len(s) - 1 and k == "vowel" and kind[i - 1] not in ("vowel", "other") and kind[i + 1] not in ("vowel", "other") for i, k in enumerate(kind)]
+    return _mask(s, letter, inner, text)
+
 
-    return ~F.exists(nexts, bad)
+def intrusion_mask(text: str, letter: bool = True) -> list[bool]:
+    """Places where speech may put a breath or a stop: consonants after a vowel."""
+    s = _spans(text)
+    after = [i > 0 and s[i - 1][1] == "vowel" and x[1] in _CONSONANTS for i, x in enumerate(s)]
+    return _mask(s, letter, after, text)
 
 
 def token_class(token: Column) -> Column:

@@ -74,9 +74,12 @@ def tumbling_level(df: DataFrame, keys: Sequence[str], position: str, value: str
 
 
 def apportioned(df: DataFrame, start: str, end: str, index: str, n: str) -> DataFrame:
-    """Equal shares of an interval; the last one ends where it ends."""
+    """Equal shares of an interval, in whole thousandths; the last one ends where it ends.
+
+    The small addition makes halves round up whatever the noise in their last digits.
+    """
     step = (F.col(end) - F.col(start)) / F.col(n)
-    return df.withColumn("part_start", F.round(F.col(start) + F.col(index) * step, 3)).withColumn("part_end", F.when(F.col(index) == F.col(n) - 1, F.round(F.col(end), 3)).otherwise(F.round(F.col(start) + (F.col(index) + 1) * step, 3)))
+    return df.withColumn("part_start", F.round(F.col(start) + F.col(index) * step + 1e-9, 3)).withColumn("part_end", F.when(F.col(index) == F.col(n) - 1, F.round(F.col(end), 3)).otherwise(F.round(F.col(start) + (F.col(index) + 1) * step + 1e-9, 3)))
 
 
 def generated_id(prefix: str, ordinal: Column, width: int) -> Column:

@@ -208,7 +208,7 @@ select line_id, last_value(named ignore nulls) over (partition by source_id, seq
     "win11_levels": _FRAMES + ", g as (select vec_id, i // 16 as window_no, count(*) as n, avg((x / 4) * (x / 4)) as p from v group by all) select vec_id, window_no, round(greatest(-120, least(0, 20 * log10(greatest(sqrt(p), 1e-9)))), 6) as level_db from g where n = 16",
     "win12_quietest_window": _FRAMES + ", r as (select vec_id, i, round(x, 4) as x from v), g as (select vec_id, i, count(*) over w as n, avg(x * x) over w as p from r window w as (partition by vec_id order by i rows between current row and 7 following)) select vec_id, arg_min(i, (round(p, 9), i)) as window_start, round(min(p), 6) as least_power from g where n = 8 group by vec_id",
     "win13_phoneme_shares": _W + """, l as (select interval_id, s / 1000 as a, e / 1000 as b, length(emitted_word) as n, unnest(range(0, length(emitted_word))) as i from words where emitted_word is not null and emitted_word <> '')
-select interval_id, i, cast(round(round(a + i * ((b - a) / n), 3) * 1000) as bigint) as start_ms, cast(round(case when i = n - 1 then round(b, 3) else round(a + (i + 1) * ((b - a) / n), 3) end * 1000) as bigint) as end_ms from l""",
+select interval_id, i, cast(round(round(a + i * ((b - a) / n) + 1e-9, 3) * 1000) as bigint) as start_ms, cast(round(case when i = n - 1 then round(b, 3) else round(a + (i + 1) * ((b - a) / n) + 1e-9, 3) end * 1000) as bigint) as end_ms from l""",
     "win15_generated_ids": f"with {CHUNKS_SQL} select chunk_id, 'chunk_' || lpad(cast(row_number() over (partition by source_id order by chunk_index, chunk_id) as varchar), 4, '0') as generated from chunks",
     "int01_union_length": _W + """, r as (select *, max(e) over (partition by source_id order by s, e rows between unbounded preceding and 1 preceding) as reach from words)
 select source_id, cast(sum(greatest(0, e - greatest(s, coalesce(reach, s)))) as bigint) as union_ms, count(*) filter (reach is null or s > reach) as n_periods from r group by source_id""",

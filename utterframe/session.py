@@ -41,3 +41,9 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint only if the size is proven; else Spark joins by shuffle."""
     return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over more partitions than cores, for kernels that cost far more than their rows
+    weigh; adaptive execution would put such rows into few tasks."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
