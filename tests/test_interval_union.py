@@ -48,7 +48,7 @@ def test_limits_ties_and_clashing_columns(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, s long, e long")
-    assert interval_gaps(df, ["k"], F.col(S), F.col(E)).collect() == [] and interval_periods(df, ["k"], S, E).collect() == []
+    assert interval_gaps(df, ["k"], F.col(S), F.col(E)).collect() == [] and interval_periods(df, ["k"], F.col(S), F.col(E)).collect() == []
 
 
 def test_to_ms(spark):

@@ -253,24 +253,42 @@ def locate_chunks(texts: Sequence[str], tokens: Sequence[str], first_skip: int =
 
 
 def align_grams(source: Sequence[str], target: Sequence[str], substitute: Callable[[str, str], float], delete: Callable[[str], float], insert: Callable[[str], float]) -> tuple[float, list[tuple[int, int, int, int, float]]]:
-    """One or two source symbols against none, one or two target symbols."""
+    """One or two source symbols against none, one or two target symbols.
 
-    def steps(i: int, j: int) -> Iterator[tuple[int, int, float]]:
-        a, b = source[i : i + 2], target[j : j + 2]
-        if a and b:
-            yield 1, 1, substitute(a[0], b[0])
-        if a:
-            yield 1, 0, delete(a[0])
-        if b:
-            yield 0, 1, insert(b[0])
-        if a and len(b) == 2:
-            yield 1, 2, substitute(a[0], b[0] + b[1])
-        if len(a) == 2 and b:
-            yield 2, 1, substitute(f"{a[0]} {a[1]}", b[0])
-        if len(a) == 2 and len(b) == 2:
-            yield 2, 2, substitute(f"{a[0]} {a[1]}", b[0] + b[1])
-
-    return lattice(len(source), len(target), steps)
+    Of equally cheap ways into a node, the plain substitution, then the deletion, the insertion and
+    the steps of two symbols.
+    """
+    n, m = len(source), len(target)
+    best = np.full((n + 1, m + 1), math.inf)
+    best[0, 0] = 0.0
+    came: dict[tuple[int, int], tuple[int, int, float]] = {}
+    two_s = [f"{a} {b}" for a, b in zip(source, source[1:])]
+    two_t = [a + b for a, b in zip(target, target[1:])]
+    for i in range(n + 1):
+        for j in range(m + 1):
+            ways = []
+            if i and j:
+                ways.append((1, 1, substitute(source[i - 1], target[j - 1])))
+            if i:
+                ways.append((1, 0, delete(source[i - 1])))
+            if j:
+                ways.append((0, 1, insert(target[j - 1])))
+            if i and j > 1:
+                ways.append((1, 2, substitute(source[i - 1], two_t[j - 2])))
+            if i > 1 and j:
+                ways.append((2, 1, substitute(two_s[i - 2], target[j - 1])))
+            if i > 1 and j > 1:
+                ways.append((2, 2, substitute(two_s[i - 2], two_t[j - 2])))
+            for di, dj, cost in ways:
+                if best[i - di, j - dj] + cost < best[i, j]:
+                    best[i, j] = best[i - di, j - dj] + cost
+                    came[i, j] = (di, dj, cost)
+    path, i, j = [], n, m
+    while i or j:
+        di, dj, cost = came[i, j]
+        i, j = i - di, j - dj
+        path.append((i, j, di, dj, cost))
+    return float(best[n, m]), path[::-1]
 
 
 def _sound_costs() -> np.ndarray:

@@ -37,7 +37,7 @@ def padded_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, o
     out = df.withColumn("l__", before).withColumn("r__", after)
     left = F.least(F.lit(pad), F.greatest(F.floor((F.col(start) - F.col("l__")) / 2), F.lit(0)))
     right = F.least(F.lit(pad), F.greatest(F.floor((F.col("r__") - F.col(end)) / 2), F.lit(0)))
-    return out.withColumn("padded_start", F.greatest(F.col(start) - F.coalesce(left, F.lit(pad)), low)).withColumn("padded_end", F.least(F.col(end) + F.coalesce(right, F.lit(pad)), high)).drop("l__", "r__")
+    return out.withColumn("padded_start", F.greatest(F.col(start) - F.when(F.col("l__").isNull(), pad).otherwise(left), low)).withColumn("padded_end", F.least(F.col(end) + F.when(F.col("r__").isNull(), pad).otherwise(right), high)).drop("l__", "r__")
 
 
 def midpoint_boundaries(df: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str]) -> DataFrame:

@@ -194,7 +194,7 @@ SQL = {
     "win02_label_runs": _W + _RUNS.format(x="flagged", cond="flagged is not null") + " select chunk_id, any_value(flagged) as flagged, min(s) as s, max(e) as e, count(*) as n from g group by chunk_id, k",
     "win03_quiet_runs": _W + _RUNS.format(x="(confidence < 0.6)", cond="confidence is not null and not isnan(confidence)") + " select chunk_id, min(s) as s, max(e) as e, count(*) as n from g group by chunk_id, k having count(*) >= 3 and any_value(confidence < 0.6)",
     "win04_neighbour_padding": _WC + """, n as (select *, lag(e) over w as l, lead(s) over w as r from cw window w as (partition by chunk_id order by s, e, interval_id))
-select interval_id, greatest(s - coalesce(least(120, greatest(cast(floor((s - l) / 2) as bigint), 0)), 120), cs) as padded_start, least(e + coalesce(least(120, greatest(cast(floor((r - e) / 2) as bigint), 0)), 120), ce) as padded_end from n""",
+select interval_id, greatest(s - case when l is null then 120 else least(120, greatest(cast(floor((s - l) / 2) as bigint), 0)) end, cs) as padded_start, least(e + case when r is null then 120 else least(120, greatest(cast(floor((r - e) / 2) as bigint), 0)) end, ce) as padded_end from n""",
     "win05_midpoints": _W + """, m as (select *, cast(floor((e + lead(s) over w) / 2) as bigint) as mid from cw window w as (partition by chunk_id order by s, e, interval_id)),
 n as (select *, coalesce(lag(mid) over (partition by chunk_id order by s, e, interval_id), s) as a, coalesce(mid, e) as b from m),
 o as (select interval_id, max(a) over (partition by chunk_id order by s, e, interval_id rows unbounded preceding) as new_start, b from n) select interval_id, new_start, greatest(b, new_start) as new_end from o""",
