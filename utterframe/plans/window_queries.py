@@ -177,7 +177,7 @@ def aln22_word_confidences(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "embeddings").select("label", F.floor(F.col("vec_id") / 1000).alias("block"), "vec_id", (argmax(F.col("embedding")) % 6).alias("best"), F.round(F.array_max("embedding").cast("double"), 4).alias("top"))
     w = Window.partitionBy("label", "block").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
     f = f.withColumn("word_no", F.sum((F.col("best") == 1).cast("int")).over(w)).where("best <> 1")
-    return f.groupBy("label", "block", "word_no").agg(F.round(F.avg("top"), 4).alias("confidence"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+    return f.groupBy("label", "block", "word_no").agg(F.round(F.avg("top") + 1e-9, 4).alias("confidence"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:3] in ("win", "int", "str", "srt", "mth", "aln") and callable(f) and n[3:5].isdigit()}
@@ -233,5 +233,5 @@ select vec_id, i, round(ln(greatest((label % 10 + 0.5) / 10 * exp(lp) + case whe
     "aln19_greedy_decode": _BEST.format(m=8) + ", l as (select *, lag(best) over (partition by label, block order by vec_id) as last from f) select label, block, string_agg(cast(best as varchar), ' ' order by vec_id) as ids, count(*) as n from l where last is distinct from best and best <> 0 group by all",
     "aln21_peaks": _BEST.format(m=4) + """, l as (select *, lag(best) over (partition by label, block order by vec_id) as last from f), g as (select *, sum(case when last is null or last <> best then 1 else 0 end) over (partition by label, block order by vec_id rows unbounded preceding) as run from l)
 select label, block, cast(run as bigint) as run, vec_id, best from g qualify row_number() over (partition by label, block, run order by top desc, vec_id) = 1""",
-    "aln22_word_confidences": _BEST.format(m=6) + ", g as (select *, sum(case when best = 1 then 1 else 0 end) over (partition by label, block order by vec_id rows unbounded preceding) as word_no from f) select label, block, cast(word_no as bigint) as word_no, round(avg(round(cast(top as double), 4)), 4) as confidence, min(vec_id) as first, max(vec_id) as last from g where best <> 1 group by all",
+    "aln22_word_confidences": _BEST.format(m=6) + ", g as (select *, sum(case when best = 1 then 1 else 0 end) over (partition by label, block order by vec_id rows unbounded preceding) as word_no from f) select label, block, cast(word_no as bigint) as word_no, round(avg(round(cast(top as double), 4)) + 1e-9, 4) as confidence, min(vec_id) as first, max(vec_id) as last from g where best <> 1 group by all",
 }
