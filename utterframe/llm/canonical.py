@@ -34,12 +34,12 @@ def forms(values: DataFrame) -> DataFrame:
     """(kind, value, form) of the distinct rows of (kind, value)."""
     distinct = values.where("value is not null").select("kind", "value").distinct()
     mapped = distinct.withColumn("mapped", mapped_form(F.struct("kind", "value")))
-    key = F.collate("mapped", COLLATION)
-    classes = mapped.groupBy("kind", key.alias("class")).agg(
-        F.min_by("mapped", F.struct(F.length("mapped"), "mapped")).alias("member"), F.min("mapped").alias("lo"), F.max("mapped").alias("hi")
-    )
-    several = classes.where("lo <> hi").select("kind", "class", "member")
-    out = mapped.withColumn("class", key).join(several, ["kind", "class"], "left")
+    mapped = mapped.withColumn("class", F.collate("mapped", COLLATION))
+    # Classes with several members are found by a hash aggregate over numbers; few of them exist.
+    hashed = F.xxhash64("mapped")
+    classes = mapped.groupBy("kind", "class").agg(F.min(hashed).alias("lo"), F.max(hashed).alias("hi")).where("lo <> hi").select("kind", "class")
+    members = mapped.join(classes, ["kind", "class"], "left_semi").groupBy("kind", "class").agg(F.min_by("mapped", F.struct(F.length("mapped"), "mapped")).alias("member"))
+    out = mapped.join(members, ["kind", "class"], "left")
     return out.select("kind", "value", F.coalesce("member", "mapped").alias("form"))
 
 

@@ -45,9 +45,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CHEROKEE_LETTER = re.compile(r"[Ꭰ-ᏽꭰ-ꮿ]")
 
 
+_NOT_PHONETIC = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_PHONETIC)) + "]")
+
+
 def phonetic_form(value: str | None) -> str | None:
-    if value is None:
-        return None
+    if value is None or not _NOT_PHONETIC.search(value) and unicodedata.is_normalized("NFC", value):
+        return value
     return unicodedata.normalize("NFC", value.translate(_PHONETIC)).translate(_FOREIGN)
 
 
