@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from utterframe.functions import text as X
 from utterframe.functions.text import intrusion_mask, syncope_mask
+from utterframe.functions.tones import enriched_syllable, mora_streams, numbered_tones, reconciled, resolve_hiatus, to_syllabary, tone_contour
 
 
 def one(spark, fn, *values):
@@ -38,10 +39,34 @@ def test_phonemes(spark):
     assert one(spark, X.valid_phonotactics, "kanu", "ahha", "k'a", "thlha", "tlha", "", None) == [True, False, False, False, True, True, None]
 
 
+def bits(mask):
+    return "".join("01"[m] for m in mask)
+
+
 def test_masks():
-    assert syncope_mask("kanu") == [False, True, False, False] and syncope_mask("a ka") == [False] * 4
-    assert intrusion_mask("kanu") == [False, False, True, False]
-    assert intrusion_mask("athsa", letter=False) == [False, True, False, False]
+    assert bits(syncope_mask("kanu")) == "0101" and bits(syncope_mask("a ka")) == "0001"
+    assert bits(syncope_mask("tanha")) == "00001" and bits(syncope_mask("tla")) == "101"
+    assert bits(intrusion_mask("kanu")) == "0111" and bits(intrusion_mask("athsa", letters=False)) == "1100"
+    assert bits(intrusion_mask("a'ka")) == "1001" and syncope_mask("") == intrusion_mask("") == []
+
+
+def test_tones():
+    assert numbered_tones("gádò") == "ga3do21" and numbered_tones("na:") == "na22" and numbered_tones("") == ""
+    assert mora_streams("na3 a2ni22tshu34tsa2") == ("na anitshutsa", "C 3_1 | 2_1 C 2_1 2_2 C 3_1 4_2 C 2_1")
+    assert tone_contour("C 3_1 | 2_1 2_2") == [(1, 3), (3, 2), (4, 2)]
+    assert resolve_hiatus("inakei") == "inake'i" and resolve_hiatus("aa a:a") == "aa a:'a"
+
+
+def test_writing():
+    assert to_syllabary("tsalaki") == "ᏣᎳᎩ" and to_syllabary("galohsga x") == "ᎦᎶᏍᎦ x"
+    assert to_syllabary("thv hsi") == "Ꮫ Ꮟ" and to_syllabary("") == ""
+
+
+def test_enrichment():
+    assert enriched_syllable("la", "lha") == "lha" and enriched_syllable("na", "n") == "n" and enriched_syllable("ka", "ka'") == "ka'"
+    assert enriched_syllable("si", "hsi") == "hsi" and enriched_syllable("a", "ah") == "ah" and enriched_syllable("ta", "tah") == "tah"
+    assert enriched_syllable("ka", "'ka") == "'ka" and enriched_syllable("a", "'a") == "a"
+    assert reconciled([("Ꮳ", "tsa"), ("Ꮃ", "lha"), (" ", " "), ("Ꭹ", "")]) == "tsalha k" and reconciled([]) == ""
 
 
 def test_tokens(spark):

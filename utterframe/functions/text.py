@@ -167,28 +167,42 @@ def valid_phonotactics(text: Column) -> Column:
     return run(text)
 
 
-def _mask(spans: list[tuple], letter: bool, chosen: list[bool], text: str) -> list[bool]:
-    if not letter:
+def _by_letter(spans: list[tuple], chosen: list[bool], letters: bool, first_only: tuple[str, ...] = ()) -> list[bool]:
+    """A mask over symbols as one over letters; of some symbols only the first letter counts."""
+    if not letters:
         return chosen
-    out = [False] * len(text)
-    for (_, _, a, b), c in zip(spans, chosen):
-        out[a:b] = [c] * (b - a)
-    return out
+    return [c and (k == 0 or symbol not in first_only) for (symbol, _, a, b), c in zip(spans, chosen) for k in range(b - a)]
 
 
-def syncope_mask(text: str, letter: bool = True) -> list[bool]:
-    """Vowels that speech may drop: between two consonants of one word."""
+_STOPS = {"plain_stop", "aspirated_stop"}
+_LATERAL = ("tl", "tlh")
+
+
+def syncope_mask(text: str, letters: bool = True) -> list[bool]:
+    """What fast speech may drop: a vowel after a consonant, unless a stop and a voiceless sonorant
+    would meet; and the stop of a lateral affricate."""
     s = _spans(text)
-    kind = [x[1] for x in s]
-    inner = [0 < i < len(s) - 1 and k == "vowel" and kind[i - 1] not in ("vowel", "other") and kind[i + 1] not in ("vowel", "other") for i, k in enumerate(kind)]
-    return _mask(s, letter, inner, text)
+    around = [(x, s[i - 1] if i else None, s[i + 1] if i + 1 < len(s) else None) for i, x in enumerate(s)]
+    chosen = [
+        x[0] in _LATERAL or x[1] == "vowel" and before is not None and before[1] in _CONSONANTS and not (before[1] in _STOPS and after is not None and after[1] == "voiceless_sonorant")
+        for x, before, after in around
+    ]
+    return _by_letter(s, chosen, letters, _LATERAL)
 
 
-def intrusion_mask(text: str, letter: bool = True) -> list[bool]:
-    """Places where speech may put a breath or a stop: consonants after a vowel."""
+def intrusion_mask(text: str, letters: bool = True) -> list[bool]:
+    """Where speech may put a breath or a glottal stop: before a consonant that follows no laryngeal
+    or cluster, before a plain consonant's vowel, and before a vowel that comes first."""
     s = _spans(text)
-    after = [i > 0 and s[i - 1][1] == "vowel" and x[1] in _CONSONANTS for i, x in enumerate(s)]
-    return _mask(s, letter, after, text)
+
+    def open_to(x: tuple, before: tuple | None) -> bool:
+        if x[1] == "vowel":
+            return before is None or before[1] in ("plain_sonorant", "plain_stop") and "h" not in (before[0][0], before[0][-1])
+        if x[1] not in _CONSONANTS - {"sibilant_cluster"} or x[0][0] in "h'" or before is None:
+            return False
+        return before[1] not in ("laryngeal_fricative", "glottal_stop", "sibilant_cluster") and before[0][-1] not in "h'" and before[0] != "hs"
+
+    return _by_letter(s, [open_to(x, s[i - 1] if i else None) for i, x in enumerate(s)], letters)
 
 
 def token_class(token: Column) -> Column:
