@@ -45,7 +45,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CHEROKEE_LETTER = re.compile(r"[Ꭰ-ᏽꭰ-ꮿ]")
 
 
-_NOT_PHONETIC = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_PHONETIC)) + "]")
+# Characters beyond the basic plane stand as one range: one by one they would be tried in turn.
+_NOT_PHONETIC = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_PHONETIC) if c < 0x10000) + "\U00010000-\U0010ffff]")
 
 
 def phonetic_form(value: str | None) -> str | None:
