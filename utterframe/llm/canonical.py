@@ -4,8 +4,9 @@ Look-alike-mapped values are grouped under Spark's accent-sensitive Unicode coll
 of values that are equal there (canonically equivalent, or apart only in characters that show
 nothing) takes its shortest, then smallest member as canonical, which is joined back to the values.
 
-Grouping and mapping see each distinct value once, after a map-side combine, so a value that a
-third of all rows hold costs one row; the last join is on the values that differ from their form.
+Mapping and grouping see each distinct value once, after a map-side combine, so a value that a third
+of all rows hold costs one row; a class has as many rows as its text has distinct spellings, and its
+window spills to disk. The last join is on the values that differ from their form.
 
 Defined results: a null value has no form and is no case; an empty one is its own form; equal rows
 count once; an empty table gives an empty result; other columns are ignored.
@@ -14,7 +15,7 @@ count once; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,13 +35,12 @@ def forms(values: DataFrame) -> DataFrame:
     """(kind, value, form) of the distinct rows of (kind, value)."""
     distinct = values.where("value is not null").select("kind", "value").distinct()
     mapped = distinct.withColumn("mapped", mapped_form(F.struct("kind", "value")))
-    mapped = mapped.withColumn("class", F.collate("mapped", COLLATION))
-    # Classes with several members are found by a hash aggregate over numbers; few of them exist.
-    hashed = F.xxhash64("mapped")
-    classes = mapped.groupBy("kind", "class").agg(F.min(hashed).alias("lo"), F.max(hashed).alias("hi")).where("lo <> hi").select("kind", "class")
-    members = mapped.join(classes, ["kind", "class"], "left_semi").groupBy("kind", "class").agg(F.min_by("mapped", F.struct(F.length("mapped"), "mapped")).alias("member"))
-    out = mapped.join(members, ["kind", "class"], "left")
-    return out.select("kind", "value", F.coalesce("member", "mapped").alias("form"))
+    # Most values are in form: what is sent to a class's partition is then the one text.
+    mapped = mapped.select("kind", F.nullif("value", F.col("mapped")).alias("value"), F.collate("mapped", COLLATION).alias("class"))
+    text = F.collate("class", "UTF8_BINARY")
+    member = F.min(F.struct(F.length(text), text)).over(Window.partitionBy("kind", "class"))
+    out = mapped.withColumn("member", member)
+    return out.select("kind", F.coalesce("value", text).alias("value"), F.col("member.col2").alias("form"))
 
 
 def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
