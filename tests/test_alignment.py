@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from utterframe.operators.alignment import EditCosts, align_grams, align_syllables, align_words, beam_search, edit_counts, edit_distances, edit_operations, force_align, greedy_ids, lattice, locate_chunks, merge_streams, prefix_distances, with_edit_distance
+from utterframe.operators.alignment import EditCosts, align_grams, align_syllables, align_words, beam_search, edit_counts, edit_distances, edit_operations, edit_path, force_align, greedy_ids, lattice, locate_chunks, merge_streams, prefix_distances, with_edit_distance
 from utterframe.operators.confusion import Matrix, estimate, graph_components, label_propagation
 
 
@@ -50,6 +50,7 @@ def test_operations_spell_both_texts(pairs):
         mine = ops[ops.pair == k]
         assert "".join(mine.ref) == a and "".join(mine.hyp) == b
         assert (mine.op != "match").sum() == slow(a, b)
+        assert edit_path(a, b) == list(mine[["op", "ref", "hyp"]].itertuples(index=False, name=None))
     kit = edit_operations(["kitten"], ["sitting"])
     assert kit.op.tolist() == ["substitute", "match", "match", "match", "substitute", "match", "insert"]
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from utterframe.functions.text import _spans
 from utterframe.functions.tones import mora_streams, numbered_tones, to_syllabary
-from utterframe.operators.alignment import EditCosts, edit_distances, edit_operations
+from utterframe.operators.alignment import EditCosts, edit_distances, edit_path
 
 #: Distance measures by name: costs of an alphabet, or any function of two lists of texts.
 MEASURES: dict[str, EditCosts | Callable[[list[str], list[str]], np.ndarray]] = {
@@ -100,8 +100,8 @@ def register_functions(spark: SparkSession) -> None:
     class EditOps:
         def eval(self, ref: str, hyp: str) -> Iterator[tuple]:
             if ref is not None and hyp is not None:
-                for _, place, op, a, b in edit_operations([ref], [hyp]).itertuples(index=False):
-                    yield int(place), op, a, b
+                for place, step in enumerate(edit_path(ref, hyp)):
+                    yield place, *step
 
     class PhonemeSpans:
         def eval(self, t: str) -> Iterator[tuple]:

@@ -191,6 +191,27 @@ def prefix_distances(reference: str, hypotheses: Sequence[str]) -> np.ndarray:
     return out
 
 
+def edit_path(ref: str, hyp: str) -> list[tuple[str, str, str]]:
+    """(op, ref, hyp) of one pair at unit costs, with the preferences of `edit_operations`."""
+    table = prefix_distances(ref, [hyp])[0]
+    i, j, out = len(ref), len(hyp), []
+    while i or j:
+        here = table[j, i]
+        if i and j and ref[i - 1] == hyp[j - 1] and table[j - 1, i - 1] == here:
+            i, j = i - 1, j - 1
+            out.append(("match", ref[i], hyp[j]))
+        elif i and j and ref[i - 1] != hyp[j - 1] and table[j - 1, i - 1] + 1 == here:
+            i, j = i - 1, j - 1
+            out.append(("substitute", ref[i], hyp[j]))
+        elif i and table[j, i - 1] + 1 == here:
+            i -= 1
+            out.append(("delete", ref[i], ""))
+        else:
+            j -= 1
+            out.append(("insert", "", hyp[j]))
+    return out[::-1]
+
+
 def fused_rates(words: Sequence[str], tokens: Sequence[str], most: tuple[int, int] = (4, 3)) -> dict[tuple[int, int, int, int], float]:
     """Error rate of every stretch of words (from i, a of them) and of tokens (from j, b of them)."""
     out: dict[tuple[int, int, int, int], float] = {}
