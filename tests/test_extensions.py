@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from utterframe.functions.registry import add_noise, compose, measure, pcm_samples, register_functions, register_measure, resolve_vocabulary, tiling
-from utterframe.session import broadcast_if_small, cut_lineage, small_enough
+from utterframe.session import broadcast_if_small, cut_lineage, small_enough, smallest_hashes
 
 
 def test_measures():
@@ -52,3 +52,10 @@ def test_session_helpers(spark):
     df = spark.range(10)
     assert small_enough(df, 10) and not small_enough(df, 9)
     assert cut_lineage(df).count() == 10 and broadcast_if_small(df, 3) is df
+
+
+def test_hash_samples_do_not_depend_on_the_layout(spark):
+    df = spark.range(5000)
+    a = [r.id for r in smallest_hashes(df, 50, "id").collect()]
+    assert len(set(a)) == 50 and a == [r.id for r in smallest_hashes(df.repartition(7), 50, "id").collect()]
+    assert smallest_hashes(df.limit(30), 50, "id").count() == 30 and smallest_hashes(df.limit(0), 5, "id").count() == 0

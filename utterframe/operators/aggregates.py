@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterframe.functions.maths import log_cost, relative_improvement
+from utterframe.session import broadcast_if_small
+
+MAX_LABELS = 20_000
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -49,8 +52,10 @@ def conditional_probabilities(counts: DataFrame, source: str, target: str, count
     if alpha < 0:
         raise ValueError("alpha must not be negative")
     labels = labels if labels is not None else counts.select(F.col(target)).distinct()
+    # The matrix is dense by definition; its side is the alphabet, whose size is checked.
+    labels = broadcast_if_small(labels, MAX_LABELS)
     size = labels.agg(F.count("*").alias("v__"))
-    grid = counts.select(source).distinct().join(labels) if labels is not None else counts
+    grid = counts.select(source).distinct().join(labels)
     full = grid.join(counts, [source, target], "left").withColumn(count, F.coalesce(count, F.lit(0))).join(F.broadcast(size))
     total = F.sum(count).over(Window.partitionBy(source))
     whole = total + alpha * F.col("v__")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from utterframe.functions import text as X
 from utterframe.functions.maths import log_softmax, negative_log, soft_gate
 from utterframe.functions.tones import mora_streams, numbered_tones, reconciled, resolve_hiatus, text_udf, to_syllabary, tone_contour
+from utterframe.operators.aggregates import MAX_LABELS
 from utterframe.operators.alignment import align_grams, align_syllables
 from utterframe.operators.confusion import Matrix
 from utterframe.operators.joins import interpolated
@@ -19,7 +20,7 @@ from utterframe.operators.windows import dilated
 from utterframe.plans.common import CHUNKS_SQL, RECORDS_SQL, WORDS_SQL, chunks, records, words
 from utterframe.plans.metric_queries import BIGRAMS_SQL, syllable_bigrams
 from utterframe.plans.sequence_queries import agg08_confusions
-from utterframe.session import spread, table
+from utterframe.session import broadcast_if_small, spread, table
 from utterframe.sources.writers import wide_matrix
 
 
@@ -109,7 +110,7 @@ def agg04_annotated_or_all(spark: SparkSession, d: str) -> DataFrame:
 def agg09_dense_counts(spark: SparkSession, d: str) -> DataFrame:
     c = syllable_bigrams(spark, d)
     # The labels are an alphabet.
-    grid = c.select("src").distinct().join(F.broadcast(c.select("tgt").distinct()))
+    grid = c.select("src").distinct().join(broadcast_if_small(c.select("tgt").distinct(), MAX_LABELS))
     return grid.join(c, ["src", "tgt"], "left").select("src", "tgt", F.coalesce("n", F.lit(0)).alias("n"))
 
 
