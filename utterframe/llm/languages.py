@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterframe.llm.characters import BASIC, WORD
-from utterframe.session import table
+from utterframe.session import smallest_hashes, table
 
 #: Labelled documents that the model is trained on, at most.
 MAX_TRAIN = 2000
@@ -251,8 +251,7 @@ def _scored(sent, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def training_rows(documents: DataFrame, max_train: int = MAX_TRAIN) -> list[tuple[str, str]]:
     """At most `max_train` labelled documents, the same ones in every run."""
     rows = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("label is not null and text is not null and doc_id is not null")
-    top = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    return [(r.text, r.label) for r in sorted(top.collect(), key=lambda r: r.doc_id)]
+    return [(r.text, r.label) for r in sorted(smallest_hashes(rows, max_train, "doc_id").collect(), key=lambda r: r.doc_id)]
 
 
 def paragraph_languages(documents: DataFrame, model: Model | None = None) -> DataFrame:

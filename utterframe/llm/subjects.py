@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from utterframe.llm.characters import WORD_INNER, search_form
 from utterframe.llm.languages import label_language
-from utterframe.session import table
+from utterframe.session import smallest_hashes, table
 
 MAX_FIT = 4000
 LEAST_DOCS, ROUNDS, FREE_AFTER, SEED_REST = 5, 30, 28, 0.1
@@ -324,7 +324,7 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, glos
     words = [tuple(r) for r in glossary.select("syllabary", "phonetic", "english").distinct().collect()]
     given = labels.where("doc_id is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin([s.lower() for s in subjects])).distinct()
     # No more than max_fit ids, each with at most one row per subject area.
-    chosen = given.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
+    chosen = smallest_hashes(given.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")), max_fit, "doc_id")
     texts = documents.where("text is not null").select("doc_id", "text", F.coalesce(label_language(F.col("lang")), F.lit(COMMON)).alias("label"))
     rows = sorted(texts.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: r.doc_id)
     if not rows:
