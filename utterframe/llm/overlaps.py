@@ -39,6 +39,8 @@ MIN_WORDS = 4
 #: Per text field: characters a shingle, bands, hashes a band.
 SHINGLES = {"s": (2, 50, 4), "g": (3, 40, 3)}
 CHUNK = 100_000
+#: Largest length that is told apart in a text's number.
+LONGEST = 0xFFFF
 
 
 def split_side(split: Column) -> Column:
@@ -129,11 +131,15 @@ def classes(rows: DataFrame, field: str, min_words: int = MIN_WORDS) -> DataFram
     lone = F.lit(True) if field == "s" else F.col("s").isNull()
     out = rows.where(F.size(F.split(field, " ")) >= min_words).groupBy(F.col(field).alias("text"))
     flags = [F.max((F.col("side") == side) & cond).alias(name) for name, side, cond in (("t_any", "t", F.lit(True)), ("t_lone", "t", lone), ("e_any", "e", F.lit(True)), ("e_lone", "e", lone))]
-    return out.agg(*flags).withColumn("tid", F.xxhash64("text"))
+    # The length rides in the low bits of the number, so that a bucket's pairs can be told apart by it
+    # before their texts are fetched. Texts that share a number only cost a comparison more.
+    length = F.least(F.length("text"), F.lit(LONGEST)).cast("long")
+    return out.agg(*flags).withColumn("tid", F.shiftleft(F.xxhash64("text"), 16).bitwiseOR(length))
 
 
-def candidates(found: DataFrame, field: str) -> DataFrame:
-    """Distinct (e_tid, t_tid) of an evaluation and a training class that share a bucket.
+def candidates(found: DataFrame, field: str, max_edit: float = MAX_EDIT) -> DataFrame:
+    """Distinct (e_tid, t_tid) of an evaluation and a training class that share a bucket and whose
+    lengths an allowed edit distance can bridge.
 
     Each side hashes its own classes. Keys are even for the pairing of a lone evaluation class with
     any training class, odd for that of any evaluation class with a lone training class.
@@ -146,7 +152,9 @@ def candidates(found: DataFrame, field: str) -> DataFrame:
         keys = key(even, 0) if field == "s" else F.concat(key(even, 0), key(odd, 1))
         return signed.select(F.col("tid").alias(f"{x}_tid"), F.explode(keys).alias("key"))
 
-    return side("e", "lone", "any").join(side("t", "any", "lone"), "key").select("e_tid", "t_tid").where("e_tid <> t_tid").distinct()
+    e, t = F.col("e_tid").bitwiseAND(F.lit(LONGEST)), F.col("t_tid").bitwiseAND(F.lit(LONGEST))
+    fits = (F.abs(e - t) <= F.floor(F.greatest(e, t) * max_edit + 1e-9)) | (F.greatest(e, t) == LONGEST)
+    return side("e", "lone", "any").join(side("t", "any", "lone"), "key").where(fits & (F.col("e_tid") != F.col("t_tid"))).select("e_tid", "t_tid").distinct()
 
 
 def _shingle_set(text: str, q: int) -> Column:
@@ -157,7 +165,7 @@ def near_classes(rows: DataFrame, field: str, max_edit: float = MAX_EDIT, min_wo
     """(e_text, t_text, distance, jaccard) of classes that hold nearly, or exactly, the same text."""
     found = classes(rows, field, min_words)
     text = lambda x: found.select(F.col("tid").alias(f"{x}_tid"), F.col("text").alias(f"{x}_text"))
-    pairs = candidates(found, field).join(text("e"), "e_tid").join(text("t"), "t_tid").select("e_text", "t_text")
+    pairs = candidates(found, field, max_edit).join(text("e"), "e_tid").join(text("t"), "t_tid").select("e_text", "t_text")
     q = SHINGLES[field][0]
     pairs = pairs.withColumn("k", F.floor(F.greatest(F.length("e_text"), F.length("t_text")) * max_edit + 1e-9).cast("int"))
     pairs = pairs.where(F.abs(F.length("e_text") - F.length("t_text")) <= F.col("k"))
