@@ -33,7 +33,7 @@ from utterframe.llm.characters import WORD_INNER, search_form
 from utterframe.llm.languages import label_language
 from utterframe.session import smallest_hashes, table
 
-MAX_FIT = 4000
+MAX_FIT = 8000
 LEAST_DOCS, ROUNDS, FREE_AFTER, SEED_REST = 5, 30, 28, 0.1
 #: A term is a subject's if this share of it is; in a context, if that share is.
 TERM_SHARE, CONTEXT_SHARE, PRIOR, LEAST_CONTEXT = 0.5, 0.35, 2.0, 5
