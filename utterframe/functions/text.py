@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -50,15 +52,37 @@ def ascii_form(text: Column) -> Column:
     return squeeze(F.regexp_replace(unified, "[^a-z' ]", ""))
 
 
+# The signs of the two cleaning rules.
+_APOSTROPHES = re.compile("[’‘ʼʻ`´‛]")
+_REMOVED = re.compile(r"[,?.!\-;:\"“%”\\()\[\]{}«»…]")
+_SPACED = re.compile(r"[\[\]\"().\u0f7b_|》?!/,\-<…>*]")
+
+
+def _normalized(text: str) -> str:
+    low = _APOSTROPHES.sub("'", unicodedata.normalize("NFC", text).lower())
+    return re.sub(r"\s+", " ", _REMOVED.sub("", low)).strip()
+
+
+def _cleaned(text: str) -> str:
+    return " ".join(_SPACED.sub(" ", text).split()).lower()
+
+
+def _by_text(rule: Callable[[str], str], text: Column) -> Column:
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else rule(t) for t in texts], dtype=object)
+
+    return run(text)
+
+
 def normalize_text(text: Column) -> Column:
-    """Lower case, one apostrophe, no punctuation, single spaces."""
-    unified = F.translate(F.lower(text), "’ʼ‘`", "''''")
-    return squeeze(F.regexp_replace(unified, r"[,?.!;:\"“”%()\[\]{}«»…–-]", ""))
+    """NFC, lower case, one apostrophe, no punctuation, single spaces; Spark has no NFC of its own."""
+    return _by_text(_normalized, text)
 
 
 def clean_transcription(text: Column) -> Column:
-    """Marks of transcription become spaces."""
-    return squeeze(F.translate(text, "\t\r\n*_~|/\\<>", " " * 11))
+    """Marks of transcription and punctuation become spaces; single spaces, lower case."""
+    return _by_text(_cleaned, text)
 
 
 def boundary_stripped(token: Column) -> Column:
@@ -92,7 +116,7 @@ def syllabary_to_phonetics(text: Column, contextual: bool = True) -> Column:
     contextual: `s` takes its `h` only after a vowel or sonorant within a word, else always.
     """
     plain = base_transliteration(text)
-    aspirated = F.regexp_replace(plain, r"([^ht\s])s", "$1hs") if contextual else F.regexp_replace(plain, "(?<![t])s", "hs")
+    aspirated = F.regexp_replace(plain, r"(?U)([^ht\s])s", "$1hs") if contextual else F.regexp_replace(plain, "(?<![t])s", "hs")
     return F.regexp_replace(aspirated, r"([aeiouvAEIOUV])(?=[aeiouvAEIOUV])", "$1'")
 
 

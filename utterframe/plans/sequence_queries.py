@@ -26,16 +26,15 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def txt01_normalized(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.normalize_text(F.regexp_replace("text", r"[^\x00-\x7f]", " ")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("text"))
 
 
 def txt03_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.clean_transcription(F.regexp_replace("text", r"[^\x00-\x7f]", " ")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.clean_transcription(F.col("text")).alias("text"))
 
 
 def txt05_phonetics(spark: SparkSession, d: str) -> DataFrame:
-    s = _samples(spark, d).where("syllabary_raw rlike '^[Ꭰ-Ᏼ ,.?]+$'")
-    return s.select("sample_id", X.syllabary_to_phonetics(F.col("syllabary_raw")).alias("phonetics")).distinct()
+    return _samples(spark, d).select("sample_id", X.syllabary_to_phonetics(F.col("syllabary_raw")).alias("phonetics")).distinct()
 
 
 def txt07_base_transliteration(spark: SparkSession, d: str) -> DataFrame:
