@@ -25,3 +25,44 @@ def test_text_is_whole(run):
     assert run("txt03_cleaned", documents=documents) == [("a", "ꭳꮟᏺ «osiyo» café – it’s"), ("b", "ꭰ x a b ~"), ("c", None)]
     samples = [(str(k), t, None, None) for k, t in enumerate(["ᎣᏏᏲ", "Ꮏ! (ᎯᎠ)", "ꭰꮝꭹ", "ᎠᏍ x Ꮝ", None])], "sample_id string, syllabary_raw string, input_template string, gt_target string"
     assert run("txt05_phonetics", syllabary_samples=samples) == [("0", "ohsiyo"), ("1", "nha! (hi'a)"), ("2", "ahski"), ("3", "ahs X s"), ("4", None)]
+
+
+def _lines(rows):
+    """Lines of one recording from (seq, raw_text, speaker)."""
+    return [(f"l{k:05}", "r", k, text, who) for k, text, who in rows], "line_id string, source_id string, seq long, raw_text string, speaker string"
+
+
+def test_state_runs_over_whole_recordings(run):
+    data = _lines([(k, "Ann: a b" if k == 3 else "a b", "A" if k < 1205 else "B") for k in (*range(3, 9), 199, 200, 499, 500, 1100, 1204, 1205, 2600)])
+    keys = [r[2] for r in data[0]]
+    upto, total = {}, 0
+    for k in keys:
+        total += 3 if k == 3 else 2
+        upto[f"l{k:05}"] = total
+    assert dict(run("jon15_running_prefix", codeswitched_lines=data)) == upto
+    assert {r[1] for r in run("win06_speaker_carry", codeswitched_lines=data)} == {"Ann"}
+    assert run("int07_speaker_turns", codeswitched_lines=data) == [("r", 1, "A", 3, 1204, 12), ("r", 2, "B", 1205, 2600, 2)]
+
+
+def test_segments_run_over_whole_recordings(run, spark):
+    events = spark.range(30).selectExpr("id as event_id", "'u' as user_id", "if(id % 15 < 13, 90d, 1d) as value", "cast(timestamp_seconds(id * 86400 * 4) as timestamp) as ts")
+    assert run("str02_speech_segments", events=(events.collect(), events.schema)) == [("u", 0, 12), ("u", 15, 27)]
+
+
+def test_segments_do_not_depend_on_blocks(spark):
+    import random
+
+    from utterframe.streaming.speech import advance, speech_segments, SpeechState
+
+    rng = random.Random(4)
+    data = [(s, t, rng.choice([0.0, 0.0, 9.0])) for s in "ab" for t in range(300)]
+    df = spark.createDataFrame(data, "s string, t long, v double")
+    for rule in ({"start_frames": 2, "stop_frames": 3, "least_frames": 2}, {"start_frames": 3, "stop_frames": 1, "least_frames": 4}):
+        want = []
+        for s in "ab":
+            state = SpeechState()
+            want += [(s, *x) for x in advance(state, [r[1:] for r in data if r[0] == s], 5.0, **rule)]
+            if state.speaking and state.last - state.first + 1 >= rule["least_frames"]:
+                want.append((s, state.first, state.last))
+        for block in (1, 7, 1000):
+            assert sorted(map(tuple, speech_segments(df, "s", "t", "v", 5.0, block=block, **rule).collect())) == sorted(want)

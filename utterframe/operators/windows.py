@@ -53,6 +53,38 @@ def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Sum of all rows up to each, in blocks that follow the order; a window over one row per block
+    adds the earlier ones."""
+    over = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = df.groupBy(*keys, block).agg(F.sum(value).alias("sum__")).select(*keys, block, F.coalesce(F.sum("sum__").over(over), F.lit(0)).alias("before__"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(name, inside).join(earlier, [*keys, block]).withColumn(name, F.col("before__") + F.coalesce(name, F.lit(0))).drop("before__")
+
+
+def carried_over_blocks(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """As `carried`, in blocks that follow the order; an earlier block's last value is taken along."""
+    last = df.groupBy(*keys, block).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("last__"))
+    w = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*keys, block, F.last("last__", ignorenulls=True).over(w).alias("before__"))
+    return carried(df, [*keys, block], order, value, name).join(last, [*keys, block]).withColumn(name, F.coalesce(name, "before__")).drop("before__")
+
+
+def turns(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], label: str, name: str) -> DataFrame:
+    """Numbers runs of one label (not null) from 1 on, in blocks that follow the order; a run may
+    go on over any number of blocks."""
+    w = Window.partitionBy(*keys, block).orderBy(*order)
+    inner = df.withColumn("last__", F.lag(label).over(w)).withColumn("new__", (F.col("last__") != F.col(label)).cast("int"))
+    place = F.struct(*order)
+    blocks = inner.groupBy(*keys, block).agg(F.min_by(label, place).alias("first__"), F.max_by(label, place).alias("end__"), F.coalesce(F.sum("new__"), F.lit(0)).alias("n__"))
+    over = Window.partitionBy(*keys).orderBy(block)
+    blocks = blocks.withColumn("border__", (~F.lag("end__").over(over).eqNullSafe(F.col("first__"))).cast("int"))
+    base = F.sum("border__").over(over.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("n__").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(*keys, block, base.alias("base__"))
+    inside = F.coalesce(F.sum("new__").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return inner.withColumn("inside__", inside).join(blocks, [*keys, block]).withColumn(name, F.col("base__") + F.col("inside__")).drop("last__", "new__", "inside__", "base__")
+
+
 def dilated(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, radius: int, name: str) -> DataFrame:
     """Largest value within `radius` rows on either side."""
     return df.withColumn(name, F.max(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-radius, radius)))

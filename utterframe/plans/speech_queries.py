@@ -16,7 +16,7 @@ from utterframe.operators.aggregates import MAX_LABELS
 from utterframe.operators.alignment import align_grams, align_syllables
 from utterframe.operators.confusion import Matrix
 from utterframe.operators.joins import interpolated
-from utterframe.operators.windows import dilated
+from utterframe.operators.windows import dilated, running_sum, turns
 from utterframe.plans.common import CHUNKS_SQL, RECORDS_SQL, WORDS_SQL, chunks, records, words
 from utterframe.plans.metric_queries import BIGRAMS_SQL, syllable_bigrams
 from utterframe.plans.sequence_queries import agg08_confusions
@@ -159,10 +159,9 @@ def srt11_viewer_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jon15_running_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Words of a recording's lines up to each line, in stretches of 200 lines."""
+    """Words of a recording's lines up to each line."""
     lines = table(spark, d, "codeswitched_lines").select("line_id", "source_id", "seq", F.size(F.split("raw_text", " ")).alias("n")).distinct().where("seq is not null")
-    w = Window.partitionBy("source_id", F.floor(F.col("seq") / 200)).orderBy("seq", "line_id").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select("line_id", F.sum("n").over(w).alias("upto"))
+    return running_sum(lines.withColumn("block", F.floor(F.col("seq") / 200)), ["source_id"], "block", ["seq", "line_id"], "n", "upto").select("line_id", "upto")
 
 
 def aln13_gram_alignment(spark: SparkSession, d: str) -> DataFrame:
@@ -200,11 +199,10 @@ def int06_long_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def int07_speaker_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of lines of one speaker within a recording's stretch of 500 lines."""
+    """Runs of lines of one speaker within a recording."""
     lines = table(spark, d, "codeswitched_lines").select("line_id", "source_id", "seq", F.coalesce("speaker", F.lit("?")).alias("speaker")).where("seq is not null").distinct().withColumn("block", F.floor(F.col("seq") / 500))
-    w = Window.partitionBy("source_id", "block").orderBy("seq", "line_id")
-    lines = lines.withColumn("last", F.lag("speaker").over(w)).withColumn("turn", F.sum((~F.col("last").eqNullSafe(F.col("speaker"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return lines.groupBy("source_id", "block", "turn").agg(F.min("speaker").alias("speaker"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
+    lines = turns(lines, ["source_id"], "block", ["seq", "line_id"], "speaker", "turn")
+    return lines.groupBy("source_id", "turn").agg(F.min("speaker").alias("speaker"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
 
 
 def sig07_soft_mask(spark: SparkSession, d: str) -> DataFrame:

@@ -32,10 +32,9 @@ def str01_session_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def str02_speech_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Segments of users' events as frames, active from the value 50 on; users in stretches of ten days."""
-    e = table(spark, d, "events").where("value is not null").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    e = e.withColumn("source", F.concat_ws("/", "user_id", F.floor(F.col("t") / 864_000_000_000)))
-    return speech_segments(e, "source", "event_id", "value", 50.0, start_frames=2, stop_frames=2, least_frames=1)
+    """Segments of users' events as frames, active from the value 50 on."""
+    e = table(spark, d, "events").where("value is not null")
+    return speech_segments(e, "user_id", "event_id", "value", 50.0, start_frames=2, stop_frames=2, least_frames=1)
 
 
 def str03_resumed(spark: SparkSession, d: str) -> DataFrame:

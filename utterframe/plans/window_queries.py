@@ -9,7 +9,7 @@ from utterframe.functions.maths import argmax, log_softmax, soft_gate, top_k
 from utterframe.functions.text import body_of, speaker_of
 from utterframe.operators.interval_union import interval_periods
 from utterframe.operators.ranking import first_per
-from utterframe.operators.windows import apportioned, carried, dilated, fused, gap_filled, generated_id, islands, label_runs, midpoint_boundaries, overlapping_windows, padded_intervals, quietest_window, run_starts, tumbling_level
+from utterframe.operators.windows import apportioned, carried, carried_over_blocks, dilated, fused, gap_filled, generated_id, islands, label_runs, midpoint_boundaries, overlapping_windows, padded_intervals, quietest_window, run_starts, tumbling_level
 from utterframe.plans.common import CHUNKS_SQL, WORDS_SQL, chunks, words
 from utterframe.session import table
 
@@ -44,10 +44,10 @@ def win05_midpoints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def win06_speaker_carry(spark: SparkSession, d: str) -> DataFrame:
-    """Speakers of lines: the one named, else the last one named in the recording's stretch of 500 lines."""
+    """Speakers of lines: the one named, else the last one named before in the recording."""
     lines = table(spark, d, "codeswitched_lines").select("line_id", "source_id", "seq", "raw_text").distinct().where("seq is not null")
     lines = lines.withColumn("named", speaker_of(F.col("raw_text"))).withColumn("block", F.floor(F.col("seq") / 500))
-    return carried(lines, ["source_id", "block"], ["seq", "line_id"], "named", "speaker").select("line_id", "speaker", F.trim(body_of(F.col("raw_text"))).alias("body"))
+    return carried_over_blocks(lines, ["source_id"], "block", ["seq", "line_id"], "named", "speaker").select("line_id", "speaker", F.trim(body_of(F.col("raw_text"))).alias("body"))
 
 
 def win07_end_carry(spark: SparkSession, d: str) -> DataFrame:

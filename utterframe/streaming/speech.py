@@ -8,7 +8,7 @@ The state between batches is five numbers per source, so a stream may be as long
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SEGMENTS = "source string, first_frame bigint, last_frame bigint"
+ENTERED = "source__ string, block__ bigint, speaking__ bigint, active__ bigint, quiet__ bigint, first__ bigint, last__ bigint, final__ boolean"
 STATE = "speaking boolean, active int, quiet int, first bigint, last bigint"
 
+#: Stands for a frame of an earlier block.
+_EARLIER = -(1 << 61)
+
 
 @dataclass
 class SpeechState:
@@ -47,20 +51,57 @@ def advance(state: SpeechState, frames: Iterable[tuple[int, float]], level: floa
                 state.speaking, state.active, state.quiet = False, 0, 0
 
 
-def speech_segments(frames: DataFrame, source: str, at: str, value: str, level: float, **rule: int) -> DataFrame:
-    """The segments of finished recordings; what is still spoken at the end counts."""
-    least = rule.get("least_frames", 5)
+def speech_segments(frames: DataFrame, source: str, at: str, value: str, level: float, block: int = 100_000, **rule: int) -> DataFrame:
+    """The segments of finished recordings; what is still spoken at the end counts.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    A recording is cut into blocks of `block` places. Each block is run from every state that it may
+    be entered in; one row per block then tells which one it was, and the block is run from there. A recording of
+    one block is run at once.
+    """
+    least, any_length = rule.get("least_frames", 5), {**rule, "least_frames": -(1 << 62)}
+    entries = [SpeechState(False, k, 0) for k in range(rule.get("start_frames", 3))] + [SpeechState(True, rule.get("start_frames", 3), k) for k in range(rule.get("stop_frames", 10))]
+    number = {(e.speaking, e.active if not e.speaking else 0, e.quiet): i for i, e in enumerate(entries)}
+    place = lambda s: number[bool(s.speaking), 0 if s.speaking else int(s.active), int(s.quiet)]
+
+    def ordered(pdf: pd.DataFrame) -> list[tuple[int, float]]:
         pdf = pdf.sort_values("at__", kind="stable")
-        state = SpeechState()
-        out = list(advance(state, zip(pdf["at__"], pdf["value__"]), level, **rule))
-        if state.speaking and state.last - state.first + 1 >= least:
+        return list(zip(pdf["at__"], pdf["value__"]))
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        data, ends = ordered(pdf), []
+        for e in entries:
+            state = replace(e, first=_EARLIER, last=_EARLIER)
+            for _ in advance(state, data, level, **any_length):
+                pass
+            ends.append([int(x) for x in astuple(state)])
+        return pd.DataFrame({"source__": pdf["source__"].iloc[:1], "block__": pdf["block__"].iloc[:1], "ends__": [ends]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = SpeechState(), []
+        pdf = pdf.sort_values("block__")
+        for k, ends in zip(pdf["block__"], pdf["ends__"]):
+            out.append((k, *(int(x) for x in astuple(state)), k == pdf["block__"].iloc[-1]))
+            speaking, active, quiet, first, last = (int(x) for x in ends[place(state)])
+            state = SpeechState(bool(speaking), active, quiet, state.first if first == _EARLIER else first, state.last if last == _EARLIER else last)
+        done = pd.DataFrame(out, columns=["block__", "speaking__", "active__", "quiet__", "first__", "last__", "final__"])
+        done.insert(0, "source__", pdf["source__"].iloc[0])
+        return done
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        state = SpeechState(bool(r["speaking__"]), int(r["active__"]), int(r["quiet__"]), int(r["first__"]), int(r["last__"]))
+        out = list(advance(state, ordered(pdf), level, **rule))
+        if r["final__"] and state.speaking and state.last - state.first + 1 >= least:
             out.append((state.first, state.last))
-        return pd.DataFrame([(pdf["source__"].iloc[0], a, b) for a, b in out], columns=["source", "first_frame", "last_frame"])
+        return pd.DataFrame([(r["source__"], a, b) for a, b in out], columns=["source", "first_frame", "last_frame"])
 
     rows = frames.select(F.col(source).cast("string").alias("source__"), F.col(at).cast("bigint").alias("at__"), F.col(value).cast("double").alias("value__"))
-    return rows.where("source__ is not null and at__ is not null and value__ is not null").groupBy("source__").applyInPandas(run, SEGMENTS)
+    rows = rows.where("source__ is not null and at__ is not null and value__ is not null").withColumn("block__", F.floor(F.col("at__") / block))
+    by = ["source__", "block__"]
+    long = rows.groupBy("source__").agg(F.min("block__").alias("a__"), F.max("block__").alias("b__")).where("a__ < b__").select("source__")
+    entered = rows.join(long, "source__", "left_semi").groupBy(*by).applyInPandas(exits, "source__ string, block__ bigint, ends__ array<array<bigint>>").groupBy("source__").applyInPandas(chain, ENTERED)
+    fresh = {"speaking__": 0, "active__": 0, "quiet__": 0, "first__": -1, "last__": -1, "final__": True}
+    return rows.join(entered, by, "left").na.fill(fresh).groupBy(*by).applyInPandas(run, SEGMENTS)
 
 
 def speech_stream(frames: DataFrame, source: str, at: str, value: str, level: float, **rule: int) -> DataFrame:
