@@ -66,3 +66,12 @@ def test_segments_do_not_depend_on_blocks(spark):
                 want.append((s, state.first, state.last))
         for block in (1, 7, 1000):
             assert sorted(map(tuple, speech_segments(df, "s", "t", "v", 5.0, block=block, **rule).collect())) == sorted(want)
+
+
+def test_every_profile_has_a_column(run):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    chunks = [(f"c{k}", "s", k, 0.0, 1.0, p, at) for k, p in enumerate(["tune-a", "tune-a", None, "odd", "rare"])]
+    tables = {"audio_chunks": (chunks, "chunk_id string, source_id string, chunk_index int, start_sec double, end_sec double, profile string, ingested_at timestamp"), "aligner_config": ([("tune-a",), ("scripture",)], "profile string")}
+    assert run("snk11_wide_matrix", **tables) == [("s", 1, 0, 2, 2)]

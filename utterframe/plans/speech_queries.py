@@ -137,9 +137,12 @@ def win14_uniform_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snk11_wide_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Profiles by recording as a wide table of counts."""
-    c = chunks(spark, d).groupBy("source_id", "profile").agg(F.count("*").alias("n"))
-    return wide_matrix(c, "source_id", "profile", "n", ["default", "dialogue", "longform", "scripture", "training"])
+    """Profiles by recording as a wide table of counts; `other` holds those that are not configured."""
+    # One row per profile of the configuration.
+    known = sorted({"default", *[r.profile for r in table(spark, d, "aligner_config").select("profile").where("profile is not null").collect()]} - {"other"})
+    profile = F.when(F.col("profile").isin(known), F.col("profile")).otherwise("other")
+    c = chunks(spark, d).groupBy("source_id", profile.alias("profile")).agg(F.count("*").alias("n"))
+    return wide_matrix(c, "source_id", "profile", "n", [*known, "other"])
 
 
 def set08_three_splits(spark: SparkSession, d: str) -> DataFrame:
