@@ -75,3 +75,11 @@ def test_every_profile_has_a_column(run):
     chunks = [(f"c{k}", "s", k, 0.0, 1.0, p, at) for k, p in enumerate(["tune-a", "tune-a", None, "odd", "rare"])]
     tables = {"audio_chunks": (chunks, "chunk_id string, source_id string, chunk_index int, start_sec double, end_sec double, profile string, ingested_at timestamp"), "aligner_config": ([("tune-a",), ("scripture",)], "profile string")}
     assert run("snk11_wide_matrix", **tables) == [("s", 1, 0, 2, 2)]
+
+
+def test_records_with_lost_words_take_part(run):
+    texts = [("r1", "kanu tsalakiosiyo", "kanu"), ("r2", "osiyo", "osi yo"), ("r3", "kanu", "kanu")]
+    data = [(k, "train", a, b, b, 0.0, 0.0, 0.0) for k, a, b in texts], "record_id string, split string, base_transliteration string, emitted_text string, reconciled_text string, raw_cer double, reconciled_cer double, delta_cer double"
+    pairs = {(a, b): n for a, b, n, *_ in run("aln13_gram_alignment", enrichment_records=data)}
+    assert pairs == {("kanu", "kanu"): 2, ("tsalakiosiyo", ""): 1, ("osiyo", "osiyo"): 1}
+    assert {s for s, t, _ in run("em01_confusion_matrix", enrichment_records=data)} >= set("kanutslioy")

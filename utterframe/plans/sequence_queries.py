@@ -243,10 +243,16 @@ def aln23_forced_alignment(spark: SparkSession, d: str) -> DataFrame:
     return frames_by_key(_frames(spark, d), "utt", "vec_id", "embedding", run, "utt string, place int, id int, frame int, score double")
 
 
+def word_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(source, target): the aligned words of every record; fused ones are joined as the alignment
+    compares them, and words left over meet the empty text."""
+    joined = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    return aln10_word_alignment(spark, d).select(joined(F.col("words")).alias("source"), joined(F.col("tokens")).alias("target"))
+
+
 def em01_confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Substitution probabilities of the hypotheses' words, estimated over four rounds."""
-    pairs = records(spark, d).where("size(split(ref, ' ')) = size(split(hyp, ' '))").select(F.inline(F.arrays_zip(F.split("ref", " ").alias("source"), F.split("hyp", " ").alias("target"))))
-    rows, _ = estimate(pairs, "source", "target")
+    rows, _ = estimate(word_pairs(spark, d), "source", "target")
     return spark.createDataFrame([(s, t, round(p, 6)) for s, t, p in rows], "source string, target string, p double")
 
 

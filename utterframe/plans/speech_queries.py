@@ -19,7 +19,7 @@ from utterframe.operators.joins import interpolated
 from utterframe.operators.windows import dilated, running_sum, turns
 from utterframe.plans.common import CHUNKS_SQL, RECORDS_SQL, WORDS_SQL, chunks, records, words
 from utterframe.plans.metric_queries import BIGRAMS_SQL, syllable_bigrams
-from utterframe.plans.sequence_queries import agg08_confusions
+from utterframe.plans.sequence_queries import agg08_confusions, word_pairs
 from utterframe.session import broadcast_if_small, spread, table
 from utterframe.sources.writers import wide_matrix
 
@@ -173,7 +173,7 @@ def aln13_gram_alignment(spark: SparkSession, d: str) -> DataFrame:
     # One row per pair of letters of an alphabet.
     rows = [("" if r.src == "<ins>" else r.src, "" if r.tgt == "<del>" else r.tgt, r.p) for r in p.select("src", "tgt", "p").collect()]
     sent = spark.sparkContext.broadcast(Matrix(rows))
-    df = records(spark, d).where("size(split(ref, ' ')) = size(split(hyp, ' '))").select(F.inline(F.arrays_zip(F.split("ref", " ").alias("source"), F.split("hyp", " ").alias("target")))).groupBy("source", "target").agg(F.count("*").alias("n"))
+    df = word_pairs(spark, d).groupBy("source", "target").agg(F.count("*").alias("n"))
 
     def run(batches):
         m = sent.value
