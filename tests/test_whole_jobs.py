@@ -83,3 +83,10 @@ def test_records_with_lost_words_take_part(run):
     pairs = {(a, b): n for a, b, n, *_ in run("aln13_gram_alignment", enrichment_records=data)}
     assert pairs == {("kanu", "kanu"): 2, ("tsalakiosiyo", ""): 1, ("osiyo", "osiyo"): 1}
     assert {s for s, t, _ in run("em01_confusion_matrix", enrichment_records=data)} >= set("kanutslioy")
+
+
+def test_all_symbols_can_be_decoded(run):
+    frames = [("a", k, [9.0 if i == peak else 0.0 for i in range(64)]) for k, peak in enumerate([40, 0, 63])], "label string, vec_id long, embedding array<float>"
+    assert [r[2] for r in run("aln20_beam_search", embeddings=frames) if r[1] == 1] == ["40 63"]
+    (_, _, _, _, score), *_ = run("aln23_forced_alignment", embeddings=frames)
+    assert score < -60

@@ -227,17 +227,17 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def aln20_beam_search(spark: SparkSession, d: str) -> DataFrame:
     def run(key, x):
-        found = beam_search(_log_softmax(4 * x[:, :12]), width=6)
+        found = beam_search(_log_softmax(4 * x))
         return pd.DataFrame([(key, k + 1, " ".join(map(str, p)), round(s, 4)) for k, (p, s) in enumerate(found)], columns=["utt", "place", "ids", "score"])
 
-    return frames_by_key(_frames(spark, d), "utt", "vec_id", "embedding", run, "utt string, place int, ids string, score double")
+    return frames_by_key(spread(_frames(spark, d), "utt"), "utt", "vec_id", "embedding", run, "utt string, place int, ids string, score double")
 
 
 def aln23_forced_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Frames of a fixed label sequence in each utterance."""
     def run(key, x):
         labels = [1 + k % 5 for k in range(max(1, len(x) // 3))]
-        score, at = force_align(_log_softmax(4 * x[:, :8]), labels, skippable=[k % 3 == 1 for k in range(len(labels))], intrusive=[6, 7], sites=[k % 4 == 2 for k in range(len(labels))])
+        score, at = force_align(_log_softmax(4 * x), labels, skippable=[k % 3 == 1 for k in range(len(labels))], intrusive=[6, 7], sites=[k % 4 == 2 for k in range(len(labels))])
         return pd.DataFrame([(key, k, c, t, round(score, 4)) for k, (c, t) in enumerate(zip(labels, at))], columns=["utt", "place", "id", "frame", "score"])
 
     return frames_by_key(_frames(spark, d), "utt", "vec_id", "embedding", run, "utt string, place int, id int, frame int, score double")
