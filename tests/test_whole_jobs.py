@@ -90,3 +90,11 @@ def test_all_symbols_can_be_decoded(run):
     assert [r[2] for r in run("aln20_beam_search", embeddings=frames) if r[1] == 1] == ["40 63"]
     (_, _, _, _, score), *_ = run("aln23_forced_alignment", embeddings=frames)
     assert score < -60
+
+
+def test_no_item_is_out_of_reach(spark):
+    from utterframe.operators.sets import balanced_subset
+
+    rows = [(f"w{k:05}", f"l{k % 7}", ["a", "b", "c"]) for k in range(5100)] + [("x", "short", ["z"])]
+    df = spark.createDataFrame(rows, "w string, l string, p array<string>")
+    assert "x" in {r.w for r in balanced_subset(df, "w", "l", "p", 3).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,13 +51,16 @@ def interleaved(a: DataFrame, b: DataFrame, key: str, seed: int = 42) -> DataFra
     return out[0].unionByName(out[1]).withColumn("place", F.xxhash64(key, "copy", "domain", F.lit(seed)))
 
 
-def balanced_subset(df: DataFrame, item: str, lemma: str, parts: str, want: int, per_lemma: int = 2, candidates: int = 5000) -> DataFrame:
+def balanced_subset(df: DataFrame, item: str, lemma: str, parts: str, want: int, per_lemma: int = 2) -> DataFrame:
     """Items whose parts are spread evenly: again and again an item that holds the rarest part so far.
 
-    The choice is sequential by nature, so it runs over a bounded pool: the `candidates` items with
-    the most distinct parts (ties by item), found by a distributed top-k.
+    The choice is sequential by nature, so it runs over a bounded pool. At most `per_lemma` items of
+    a lemma are ever used, so beyond the first `per_lemma` + 1 items of each part and lemma none can
+    be chosen: the pool gives what all items would, and is bounded by parts times lemmas.
     """
-    pool = df.orderBy(F.desc(F.size(F.array_distinct(parts))), item).limit(candidates).select(F.lit(0).alias("g"), item, lemma, parts)
+    first = F.row_number().over(Window.partitionBy("part__", lemma).orderBy(item))
+    held = df.select(item, lemma, F.explode(F.array_distinct(parts)).alias("part__")).withColumn("n__", first).where(F.col("n__") <= per_lemma + 1)
+    pool = df.join(held.select(item).distinct(), item, "left_semi").select(F.lit(0).alias("g"), item, lemma, parts)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(r[1], r[2], list(r[3])) for r in pdf.sort_values(item).itertuples(index=False)]
