@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; only where it names none (tests) make one.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names; only in local mode, where none is named (tests), a new one.
 
-    A folder that exists on one machine only would lose data with that machine, so nothing is
-    guessed on a cluster: the setting is read from the session first.
+    A folder that exists on one machine only would lose data with that machine, so on a cluster
+    without a named folder this fails.
     """
     sc = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="utterframe-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="utterframe-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: columns that a reader leaves out are not read, and a
+    lost executor costs nothing."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
