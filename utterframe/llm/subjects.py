@@ -9,8 +9,9 @@ and the same update with the documents' mixtures held fixed gives the share of a
 context* (with the word before or after it), which tells a term from the same word in another sense.
 
 Fitting takes at most MAX_FIT labelled documents (those with the smallest hash); every sentence of
-every document is scored. A document's mixture is its half of the alternating update. Two sentences
-make a subject. Cherokee words of the glossary, in either script and with or without an ending,
+every document is scored. A document's mixture is its half of the alternating update; it decides how
+much of each word is each subject's, and so which sentences deal with a subject. Two sentences make
+a subject. Cherokee words of the glossary, in either script and with or without an ending,
 count as their English term.
 
 Defined results: null ids and null or empty texts have no subject; labels that are null, repeated, of unknown
@@ -35,8 +36,10 @@ from utterframe.session import smallest_hashes, table
 
 MAX_FIT = 8000
 LEAST_DOCS, ROUNDS, FREE_AFTER, SEED_REST = 5, 30, 28, 0.1
-#: A term is a subject's if this share of it is; in a context, if that share is.
-TERM_SHARE, CONTEXT_SHARE, PRIOR, LEAST_CONTEXT = 0.5, 0.35, 2.0, 5
+#: A term may be a subject's if this share of it is; a word is if that share is under its document's
+#: mixture, which is updated so often and mixed with the corpus's own by DAMPING.
+TERM_SHARE, WORD_SHARE, MIX_ROUNDS, DAMPING = 0.5, 0.4, 1, 1.0
+PRIOR, LEAST_CONTEXT = 2.0, 5
 MIN_SENTENCES = 2
 #: Entries of the document-term matrix that are held at once with all components.
 BLOCK = 20_000
@@ -196,6 +199,11 @@ def factor(v: Sparse, seeds: np.ndarray, mask: np.ndarray, rounds: int = ROUNDS,
     return w, ht, v.shared(w, ht)[1]
 
 
+def with_rest(share: np.ndarray) -> np.ndarray:
+    """Shares with one column more for what is no subject's."""
+    return np.maximum(np.column_stack([share, 1 - share.sum(axis=1)]), 1e-9).astype(np.float32)
+
+
 class SubjectModel:
     """Shares of terms, and of terms in context, per subject."""
 
@@ -205,6 +213,7 @@ class SubjectModel:
         self.term_subject = np.zeros(0, np.int64)
         self.context_keys = np.zeros(0, np.int64)
         self.context_shares = np.zeros((0, len(subjects)))
+        self.prior = np.full(len(subjects) + 1, 1 / (len(subjects) + 1))
 
     def fit(self, texts: list[str], given: list[list[str]], languages: list[str]) -> SubjectModel:
         """Texts with their subjects and the languages of their labels."""
@@ -224,8 +233,10 @@ class SubjectModel:
         total = counts.sum(axis=1)
         share = self._by_subject(counts) / (total + PRIOR)[:, None]
         self.term_subject = np.where(share.max(axis=1) >= TERM_SHARE, share.argmax(axis=1), -1)
-        self.components, self.term_share = ht, share
+        self.components, self.word_share = ht, with_rest(share)
         self._contexts(ids, doc, sentence, w, len(texts))
+        fitted = self._senses(ids, sentence)[1]
+        self.prior = np.maximum(fitted.mean(axis=0), 1e-6) if len(fitted) else self.prior
         return self
 
     def seeds(self, given: list[list[str]], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -294,17 +305,39 @@ class SubjectModel:
         self.context_keys = distinct[enough]
         self.context_shares = (self._by_subject(counts) / np.maximum(total, 1e-12)[:, None])[enough]
 
-    def sentences(self, texts: list[str]) -> pd.DataFrame:
-        """(doc, subject, n): sentences of each text that deal with each subject."""
-        ids, doc, sentence = self.lexicon.numbers(texts)
+    def _senses(self, ids: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that may deal with a subject, and the share of each subject, and of none, in each:
+        its term's, or that of a context which leaves its subject less."""
         at = np.flatnonzero(self._candidates(ids)) if len(ids) else np.zeros(0, int)
-        subject = self.term_subject[ids[at]] if len(at) else at
-        fine = np.ones(len(at), bool)
+        share = self.word_share[ids[at]] if len(at) else np.zeros((0, len(self.subjects) + 1), np.float32)
+        subject, place = self.term_subject[ids[at]] if len(at) else at, np.arange(len(at))
         for key in self._context_keys(ids, sentence, at) if len(at) and len(self.context_keys) else ():
-            place = np.minimum(np.searchsorted(self.context_keys, key), len(self.context_keys) - 1)
-            seen = self.context_keys[place] == key
-            fine &= ~seen | (self.context_shares[place, subject] >= CONTEXT_SHARE)
-        hits = pd.DataFrame({"doc": doc[at][fine], "sentence": sentence[at][fine], "subject": subject[fine]}).drop_duplicates()
+            found = np.minimum(np.searchsorted(self.context_keys, key), len(self.context_keys) - 1)
+            less = (self.context_keys[found] == key) & (self.context_shares[found, subject] < share[place, subject])
+            share[less] = with_rest(self.context_shares[found[less]])
+        return at, share
+
+    def _posteriors(self, doc: np.ndarray, share: np.ndarray, n_docs: int, prior: np.ndarray, rounds: int = MIX_ROUNDS) -> np.ndarray:
+        """Each word's shares under its document's mixture, which is updated from them in turn."""
+        x = share
+        for _ in range(rounds):
+            w = np.stack([np.bincount(doc, x[:, k], n_docs) for k in range(share.shape[1])], axis=1)
+            w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-9)
+            x = share * (w / prior + DAMPING)[doc]
+            x /= np.maximum(x.sum(axis=1, keepdims=True), 1e-12)
+        return x
+
+    def sentences(self, texts: list[str]) -> pd.DataFrame:
+        """(doc, subject, n): sentences of each text that deal with each subject.
+
+        A sentence does if the document's mixture gives the subject the greater part of one of its
+        words, so a word that may be a subject's counts less where nothing else in the document is.
+        """
+        ids, doc, sentence = self.lexicon.numbers(texts)
+        at, share = self._senses(ids, sentence)
+        x = self._posteriors(doc[at], share, len(texts), self.prior)[:, : len(self.subjects)]
+        word, subject = np.nonzero(x >= WORD_SHARE)
+        hits = pd.DataFrame({"doc": doc[at][word], "sentence": sentence[at][word], "subject": subject}).drop_duplicates()
         return hits.groupby(["doc", "subject"], as_index=False).size().rename(columns={"size": "n"})
 
     def mixtures(self, texts: list[str], rounds: int = 8) -> np.ndarray:
