@@ -6,9 +6,13 @@ complete epochs first; what is left of its share is filled by the files with the
 far as their running sum stays nearer to the share than stopping would. No file is used more than
 max_repeats times.
 
-The running sum needs no task that sees a whole source: keys fall into a fixed number of ranges,
-sums per range are accumulated over at most RANGES rows per source, and files are summed within
-their range only.
+The running sum needs no task that sees a whole source: keys fall into ranges by their logarithm,
+RANGES to each factor of two, sums per range are accumulated over one row per range, and files are
+summed within their range only. An exponential key lies in a given range with a chance of at most
+0.26 / RANGES whatever its weight, so no range holds more than about 0.2 % of a source.
+
+A source is too small for its share if the plan uses each of its files as often as it may and still
+falls short.
 
 Defined results: a file is the rows of one target_rel_path, or of one sha256 (in any letter case);
 null, zero, negative and infinite durations add nothing; a target with a null share or budget wants
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 
 from utterframe.session import table
 
-RANGES = 1024
+#: Ranges of keys to each factor of two.
+RANGES = 128
 SEED = 42
 
 
@@ -70,8 +75,7 @@ def plan_uses(files: DataFrame, targets: DataFrame, weight: Column | None = None
     u = (F.pmod(F.xxhash64("dataset_name", "file", F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     w = F.greatest(F.coalesce(weight if weight is not None else F.lit(1.0), F.lit(0.0)), F.lit(1e-9))
     keyed = files.withColumn("key", -F.log(u) / w)
-    # 1 - exp(-key) is uniform for weight 1 and in the order of the keys for any other.
-    keyed = keyed.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
+    keyed = keyed.withColumn("range", F.floor(F.log2("key") * RANGES))
     source = ["dataset_name", "source"]
     sums = keyed.groupBy(*source, "range").agg(F.sum("duration_ms").alias("in_range"))
     ranges = sums.withColumn("before", F.sum("in_range").over(Window.partitionBy(*source).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
@@ -89,12 +93,13 @@ def plan_uses(files: DataFrame, targets: DataFrame, weight: Column | None = None
 def shares(files: DataFrame, targets: DataFrame, uses: DataFrame) -> DataFrame:
     """Per target: the source's size, what it fills, the share reached, and whether it can fill it."""
     sizes = files.where("source is not null").groupBy("dataset_name", "source").agg(F.sum("duration_ms").alias("size_ms"), F.count("*").alias("n_files"))
-    used = uses.groupBy("dataset_name", "source_name").agg(F.sum(F.col("uses") * F.col("duration_ms")).alias("filled_ms"), F.max("uses").alias("most_uses"))
+    used = uses.groupBy("dataset_name", "source_name").agg(F.sum(F.col("uses") * F.col("duration_ms")).alias("filled_ms"), F.max("uses").alias("most_uses"), F.min("uses").alias("least_uses"))
     out = targets.join(sizes, ["dataset_name", "source"], "left").join(used, ["dataset_name", "source_name"], "left")
     size, filled = F.coalesce("size_ms", F.lit(0)), F.coalesce("filled_ms", F.lit(0))
+    worn_out = F.coalesce("least_uses", "max_repeats") >= F.col("max_repeats")
     return out.select(
         "dataset_name", "source_name", "target_share", "max_repeats", "budget_sec", size.alias("size_ms"), F.coalesce("n_files", F.lit(0)).alias("n_files"), filled.alias("filled_ms"),
-        F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (filled / 1000 / F.nullif(F.col("budget_sec"), F.lit(0.0))).alias("share_reached"), (size * F.col("max_repeats") < F.col("want_ms")).alias("too_small"),
+        F.coalesce("most_uses", F.lit(0)).alias("most_uses"), (filled / 1000 / F.nullif(F.col("budget_sec"), F.lit(0.0))).alias("share_reached"), (worn_out & (filled < F.col("want_ms"))).alias("too_small"),
     )
 
 
