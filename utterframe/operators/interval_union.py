@@ -1,10 +1,12 @@
 """Union of time intervals per entity: continuous periods and the gaps between them.
 
-The aggregate's state is a list of disjoint intervals in order of time. Lists of the same entity
-and time block are merged linearly, first within each input task, then across salted partial
-groups, then per block (a reduction tree), and blocks are stitched by a window over one summary
-row per block. An interval belongs to the block of its start; its end may reach into later blocks
-and is carried on as a running maximum, so a long interval is never copied.
+The aggregate's state is a list of disjoint intervals in order of time. A task sorts its rows into
+such lists once; from there on lists of the same entity and time block are merged linearly, two at a
+time, first across salted partial groups, then per block (a reduction tree). Blocks are stitched by
+a window over one summary row per block (its first start and last end) that is joined back to the
+lists, so no task holds the lists of a whole entity. An interval belongs to the block of its start;
+its end may reach into later blocks and is carried on as a running maximum, so a long interval is
+never copied.
 
 State bound: bounds are whole milliseconds, so a block of B ms holds at most B / 2 disjoint
 intervals, whatever the number of rows (300,000 for the default of ten minutes).
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from utterframe.session import written
+
 BLOCK_MS = 600_000
 SALTS = 4
 BUFFER = 200_000
@@ -57,10 +61,30 @@ def merge_sorted_groups(code: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     return code[first], start[first], reach[last]
 
 
-def _combine(keys: pd.DataFrame, size: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
-    """One row per distinct key with the merged lists."""
+def merge_lists(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of disjoint intervals in order of time as one: every interval goes straight to its
+    place in the common order, and what touches the reach of those before is joined to them."""
+    n = len(a[0]) + len(b[0])
+    start, end = np.empty(n, np.int64), np.empty(n, np.int64)
+    for (s, e), (other, _), side in ((a, b, "left"), (b, a, "right")):
+        place = np.arange(len(s)) + np.searchsorted(other, s, side)
+        start[place], end[place] = s, e
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    return start[first], reach[np.r_[first[1:], n] - 1]
+
+
+def merge_all(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists merged two by two."""
+    while len(lists) > 1:
+        lists = [merge_lists(*lists[i : i + 2]) if i + 1 < len(lists) else lists[i] for i in range(0, len(lists), 2)]
+    return lists[0]
+
+
+def _leaves(keys: pd.DataFrame, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    """One row per distinct key with the list of its intervals."""
     code = keys.groupby(list(keys.columns), dropna=False, sort=False).ngroup().to_numpy()
-    c, s, e = merge_sorted_groups(np.repeat(code, size), start, end)
+    c, s, e = merge_sorted_groups(code, start, end)
     heads = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     out = keys.iloc[np.unique(code, return_index=True)[1]].reset_index(drop=True)
     cuts = np.r_[heads, len(c)]
@@ -84,7 +108,7 @@ def _partial(keys: list[str]):
 
     def flush(held: list[pd.DataFrame]) -> pd.DataFrame:
         pdf = pd.concat(held, ignore_index=True)
-        return _combine(pdf[keys], np.ones(len(pdf), int), pdf["s__"].to_numpy(), pdf["e__"].to_numpy())
+        return _leaves(pdf[keys], pdf["s__"].to_numpy(), pdf["e__"].to_numpy())
 
     return run
 
@@ -99,8 +123,11 @@ def _level(keys: list[str]):
                 continue
             if held is not None:
                 pdf = pd.concat([held, pdf], ignore_index=True)
-            size = pdf["starts"].map(len).to_numpy()
-            out = _combine(pdf[keys], size, np.concatenate(pdf["starts"].to_numpy()), np.concatenate(pdf["ends"].to_numpy()))
+            code = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            heads = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            lists = list(zip(pdf["starts"], pdf["ends"]))
+            merged = [merge_all(lists[i:j]) for i, j in zip(heads, np.r_[heads[1:], len(code)])]
+            out = pdf.iloc[heads].assign(starts=[m[0] for m in merged], ends=[m[1] for m in merged])
             held, out = out.iloc[-1:], out.iloc[:-1]
             if len(out):
                 yield out
@@ -124,11 +151,20 @@ def interval_blocks(df: DataFrame, keys: Sequence[str], start_ms: Column, end_ms
     return part.repartition(*by).sortWithinPartitions(*by).mapInPandas(_level(by), schema)
 
 
+def _with_heads(blocks: DataFrame, keys: Sequence[str], summary: dict[str, Column], over: dict[str, Column]) -> DataFrame:
+    """Adds columns of a window over one short row (`summary`) for each block."""
+    by = [*keys, "block__"]
+    heads = blocks.select(*by, *[c.alias(n) for n, c in summary.items()])
+    heads = heads.select(*[F.col(c).alias(f"{c}_h") for c in by], *[c.alias(n) for n, c in over.items()])
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_h")) for c in by]
+    return blocks.join(heads.hint("merge"), same).drop(*[f"{c}_h" for c in by])
+
+
 def _stitched(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds the reach of earlier blocks and the gaps that end in each block."""
-    before = Window.partitionBy(*keys).orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("top__", F.element_at("ends", -1))
-    blocks = blocks.withColumn("reach__", F.max("top__").over(before))
+    """Adds the reach of earlier blocks, the entity's last end and the gaps that end in each block."""
+    entity = Window.partitionBy(*keys)
+    before = entity.orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = _with_heads(written(blocks), keys, {"top__": F.element_at("ends", -1)}, {"reach__": F.max("top__").over(before), "last__": F.max("top__").over(entity)})
     gap = F.transform(
         "starts",
         lambda s, i: F.struct(
@@ -154,10 +190,8 @@ def interval_periods(df: DataFrame, keys: Sequence[str], start_ms: Column, end_m
     starts, which may be in a later block, or at the entity's last end.
     """
     blocks = _stitched(interval_blocks(df, keys, start_ms, end_ms, **tree), keys)
-    w = Window.partitionBy(*keys).orderBy("block__")
-    later = w.rowsBetween(1, Window.unboundedFollowing)
-    blocks = blocks.withColumn("next__", F.first(F.get("gaps__", F.lit(0)).gap_start_ms, ignorenulls=True).over(later))
-    blocks = blocks.withColumn("last__", F.max("top__").over(Window.partitionBy(*keys)))
+    later = Window.partitionBy(*keys).orderBy("block__").rowsBetween(1, Window.unboundedFollowing)
+    blocks = _with_heads(blocks, keys, {"gap__": F.get("gaps__", F.lit(0)).gap_start_ms}, {"next__": F.first("gap__", ignorenulls=True).over(later)})
     firsts = F.when(F.col("reach__").isNull(), F.slice("starts", 1, 1)).otherwise(F.slice("starts", 1, 0))
     opens = F.concat(firsts, F.transform("gaps__", lambda g: g.gap_end_ms))
     blocks = blocks.withColumn("opens__", opens).withColumn("skip__", F.size("opens__") - F.size("gaps__"))
