@@ -37,14 +37,26 @@ def test_pieces_cover_overlap_and_stay_within_the_limit(spark):
 
 
 def test_an_edit_alters_only_neighbouring_pieces():
-    rng = np.random.default_rng(3)
-    at = np.cumsum(rng.integers(800, 2500, 400))
-    length = rng.integers(20, 300, 400)
-    before, _ = chunks.cut(0, int(at[-1]) + 500, at, length, 20_000, 500)
-    moved = np.r_[at[:150], at[150:] + 777]
-    after, _ = chunks.cut(0, int(moved[-1]) + 500, moved, length, 20_000, 500)
-    shifted = {c + 777 for c in before if c > at[150]}
-    assert len(shifted & set(after)) > 0.8 * len(shifted)
+    """1,000 edits that move, drop or add a pause: few cuts change, however long the item."""
+    rng, changed = np.random.default_rng(3), []
+    for trial in range(1000):
+        n, k = 300, int(rng.integers(1, 299))
+        at, length = np.cumsum(rng.integers(800, 2500, n)), rng.integers(20, 300, n)
+        end, by = int(at[-1]) + 500, 777 if trial % 3 == 0 else 0
+        before, _ = chunks.cut(0, end, at, length, 20_000, 500)
+        moved, size = [(np.r_[at[:k], at[k:] + by], length), (np.delete(at, k), np.delete(length, k)), (np.insert(at, k, (at[k - 1] + at[k]) // 2), np.insert(length, k, 99))][trial % 3]
+        after, _ = chunks.cut(0, end + by, moved, size, 20_000, 500)
+        changed.append(len(set(after) - {c + by if c >= at[k] else c for c in before}))
+    assert max(changed) <= 5 and np.mean(np.array(changed) > 3) < 0.01 and np.mean(changed) < 1
+
+
+def test_forced_cuts_only_where_no_boundary_is_in_reach():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        at = np.unique(rng.integers(1, 99_999, int(rng.integers(0, 40))))
+        cuts, forced = chunks.cut(0, 100_000, at, np.full(len(at), 50), 10_000, 500)
+        assert any(forced) == (np.diff(np.r_[0, at, 100_000]).max() > 9_500)
+        assert np.diff([0, *cuts, 100_000]).max() <= 9_500
 
 
 # -- mixing ------------------------------------------------------------------
@@ -62,6 +74,17 @@ def test_sources_fill_their_share(spark):
     assert got["none", 4].size_ms == 0 and got["none", 4].too_small
 
 
+def test_weights_come_first_and_ranges_stay_even(spark):
+    rows = [("d", f"raw/s/{i}.wav", f"{i}", None, 1.0) for i in range(4000)]
+    files = mixture.files_of(spark.createDataFrame(rows, "dataset_name string, source_path string, target_rel_path string, sha256 string, duration_sec double"))
+    files = files.withColumn("w", F.when(F.col("file").endswith("0"), 1e6).otherwise(1.0))
+    targets = mixture.targets_of(spark.createDataFrame([("d", "s", 1.0, 1, 400.0)], "dataset_name string, source_name string, target_share double, max_repeats int, budget_sec double"))
+    used = mixture.plan_uses(files, targets, F.col("w")).where("uses > 0").toPandas()
+    assert len(used) == 400 and used.file.str.endswith("0").mean() > 0.99
+    equal = mixture.plan_uses(files, targets).where("uses > 0").toPandas()
+    assert len(equal) == 400 and equal.file.str.endswith("0").mean() < 0.3
+
+
 def test_complete_epochs_precede_a_fraction(spark):
     rows = [("d", f"raw/s/{i}.wav", f"{i}", None, 1.0 + i % 3) for i in range(300)]
     files = mixture.files_of(spark.createDataFrame(rows, "dataset_name string, source_path string, target_rel_path string, sha256 string, duration_sec double"))

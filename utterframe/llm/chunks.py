@@ -1,11 +1,12 @@
 """Cutting oversized items into pieces at natural boundaries.
 
 Content-defined chunking: a rolling hash over the last few boundaries (their distances and
-lengths, not their positions) marks landmarks. The next cut is the landmark nearest to the target
-size among the natural boundaries between the least and the largest stride; without one, the last
-natural boundary that the largest stride reaches; only where there is none, a forced cut at the
-largest stride. As landmarks depend on nearby content alone, an edit moves the cuts next to it and
-those after the next shared landmark stay.
+lengths, not their positions) ranks the natural boundaries. A boundary whose hash is the greatest
+within the least stride on both sides is a landmark, and every landmark is a cut. Stretches between
+landmarks that are longer than the largest stride are cut evenly, each time at the natural boundary
+nearest to an even share that the largest stride reaches; only where there is none, a forced cut is
+made at the largest stride. Landmarks depend on content within the least stride alone and a stretch
+on itself alone, so an edit moves the cuts of the stretches that it touches and no others.
 
 A piece starts `overlap` before the end of the one before, so the stride between cuts is at most
 limit - overlap, and no piece is longer than the limit.
@@ -28,25 +29,51 @@ from pyspark.sql import functions as F
 
 from utterframe.session import table
 
-#: Boundaries that the rolling hash covers, and one boundary in so many is a landmark.
-WINDOW, EVERY = 2, 3
-#: Strides as shares of the largest: the least one, and the one aimed at.
-LEAST, TARGET = 0.5, 0.75
+#: Boundaries that the rolling hash covers.
+WINDOW = 2
+#: The least stride between landmarks as a share of the largest.
+LEAST = 0.5
 DEFAULT_PROFILE = "default"
 SCHEMA = "piece_no int, piece_start_ms bigint, piece_end_ms bigint, cut_kind string"
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def landmarks(position: np.ndarray, length: np.ndarray, window: int = WINDOW, every: int = EVERY) -> np.ndarray:
-    """Which boundaries are landmarks, by a rolling hash over `window` distances and lengths."""
+def boundary_hashes(position: np.ndarray, length: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A rolling hash over `window` distances and lengths at each boundary."""
     with np.errstate(over="ignore"):
         step = np.diff(position, prepend=position[:1]).astype(np.uint64) * _PRIMES[0] + length.astype(np.uint64) * _PRIMES[1]
         step ^= step >> np.uint64(29)
         h = np.zeros(len(step), np.uint64)
         for i in range(window):
             h += np.r_[np.zeros(min(i, len(step)), np.uint64), step[: len(step) - i]] * _PRIMES[2] ** np.uint64(i + 1)
-        h ^= h >> np.uint64(32)
-    return h % np.uint64(every) == 0
+        h *= _PRIMES[0]
+        return h ^ h >> np.uint64(32)
+
+
+def _range_max(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The greatest of values[lo:hi] for each pair; 0 where there is none."""
+    levels, w = [values], 1
+    while 2 * w <= len(values):
+        levels.append(np.maximum(levels[-1][:-w], levels[-1][w:]))
+        w *= 2
+    size = hi - lo
+    out = np.zeros(len(lo), values.dtype)
+    level = np.minimum(np.frexp(np.maximum(size, 1))[1] - 1, len(levels) - 1)
+    for k, top in enumerate(levels):
+        at = np.flatnonzero((level == k) & (size > 0))
+        if len(at):
+            out[at] = np.maximum(top[lo[at]], top[hi[at] - (1 << k)])
+    return out
+
+
+def landmarks(start: int, end: int, position: np.ndarray, length: np.ndarray, least: float) -> np.ndarray:
+    """The boundaries whose hash is the greatest within `least` on both sides (the first of equal
+    ones), and that are no nearer than that to the item's ends."""
+    h = boundary_hashes(position, length)
+    place = np.arange(len(position))
+    before = _range_max(h, np.searchsorted(position, position - least, "right"), place)
+    after = _range_max(h, place + 1, np.searchsorted(position, position + least, "left"))
+    return position[(before < h) & (after <= h) & (position - start >= least) & (end - position >= least)]
 
 
 def cut(start: int, end: int, position: np.ndarray, length: np.ndarray, limit: int, overlap: int) -> tuple[list[int], list[bool]]:
@@ -54,19 +81,22 @@ def cut(start: int, end: int, position: np.ndarray, length: np.ndarray, limit: i
     stride = limit - overlap if 0 <= overlap < limit else limit
     if end - start <= limit:
         return [], []
-    marks = landmarks(position, length)
+    inner = (position > start) & (position < end)
+    position, length = position[inner], length[inner]
+    position, first = np.unique(position, return_index=True)
+    length = length[first]
     cuts, forced, at = [], [], start
-    while end - at > stride:
-        lo, hi = np.searchsorted(position, at, "right"), np.searchsorted(position, at + stride, "right")
-        inside = position[lo:hi]
-        if len(inside):
-            good = np.flatnonzero(marks[lo:hi] & (inside >= at + LEAST * stride))
-            best = good[np.abs(inside[good] - (at + TARGET * stride)).argmin()] if len(good) else len(inside) - 1
-            at = int(inside[best])
-        else:
-            at += stride
-        cuts.append(at)
-        forced.append(not len(inside))
+    for mark in [*landmarks(start, end, position, length, LEAST * stride).tolist(), end]:
+        while mark - at > stride:
+            aim = at + (mark - at) / -(-(mark - at) // stride)
+            reach = position[np.searchsorted(position, at, "right") : np.searchsorted(position, at + stride, "right")]
+            forced.append(not len(reach))
+            at = int(reach[np.abs(reach - aim).argmin()]) if len(reach) else at + stride
+            cuts.append(at)
+        if mark < end:
+            at = mark
+            cuts.append(at)
+            forced.append(False)
     return cuts, forced
 
 
