@@ -11,11 +11,14 @@ import re
 import unicodedata
 from functools import lru_cache
 
-# Letters of other scripts that look like Latin ones (Unicode's confusables).
+# Letters of other scripts that look like Latin ones (Unicode's confusables): all that
+# do in Greek, Cyrillic and Armenian, and the Latin letters of other alphabets. Other scripts are not
+# covered.
 GREEK_CAPITALS = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX")
-GREEK_SMALL = ("ονιρυκ", "ovipuk")
+GREEK_SMALL = ("ονιρυκαγσϲϳ", "ovipukayocj")
 CYRILLIC_CAPITALS = ("АВЕЅІЈКМНОРСТУХҮԌԚԜ", "ABESIJKMHOPCTYXYGQW")
-CYRILLIC_SMALL = ("аеорсухѕіјһԁԛԝѵ", "aeopcyxsijhdqwv")
+CYRILLIC_SMALL = ("аеорсухѕіјһԁԛԝѵүӏ", "aeopcyxsijhdqwvyl")
+ARMENIAN = ("ՍՕՏոսօհզցյգ", "UOSnuohqgjq")
 OTHER_SMALL = ("ɑɡɩıո", "agiin")
 # Cherokee letters that look like Latin capitals; the first of two is meant where
 # a Latin letter has two.
@@ -33,7 +36,7 @@ WIDTHS = {c: "".join(chr(int(x, 16)) for x in v.split()) for c, v in _PLAIN.item
 
 #: Spaces, invisible characters and widths; the first step of every form.
 BASIC = dict.fromkeys(INVISIBLE) | dict.fromkeys(SPACES, " ") | WIDTHS
-_FOREIGN = {ord(a): b for group in (GREEK_CAPITALS, GREEK_SMALL, CYRILLIC_CAPITALS, CYRILLIC_SMALL, OTHER_SMALL) for a, b in zip(*group)}
+_FOREIGN = {ord(a): b for group in (GREEK_CAPITALS, GREEK_SMALL, CYRILLIC_CAPITALS, CYRILLIC_SMALL, ARMENIAN, OTHER_SMALL) for a, b in zip(*group)}
 _FROM_CHEROKEE = {ord(a): b for group in (CHEROKEE, CHEROKEE_SMALL) for a, b in zip(*group)}
 _TO_CHEROKEE = {ord(b): a for a, b in reversed(list(zip(*CHEROKEE)))}
 _LATIN_CAPITALS_ALIKE = {chr(c) for c in _TO_CHEROKEE}
@@ -87,9 +90,12 @@ _SEARCH = {**BASIC, **_FOREIGN, **_FROM_CHEROKEE}
 
 
 def search_form(word: str) -> str:
-    """Look-alikes of all scripts, widths and letter case as one; only for comparing."""
-    folded = unicodedata.normalize("NFC", word.translate(_SEARCH)).lower()
-    return unicodedata.normalize("NFC", folded.translate(_SEARCH))
+    """Look-alikes of all scripts, widths and letter case as one; only for comparing.
+
+    Full case folding, as a passage in capitals writes ß as SS and Cherokee has two cases too.
+    """
+    folded = unicodedata.normalize("NFC", word.translate(_SEARCH)).casefold()
+    return unicodedata.normalize("NFC", folded.translate(_SEARCH)).casefold()
 
 
 #: Characters that may stand within a word: combining marks, and what search_form drops.

@@ -1,10 +1,12 @@
 """Evaluation passages inside corpus documents.
 
-The n-grams of the normalised evaluation items form a hash set that is broadcast (its size is
-checked: MAX_GRAMS); each batch of documents is turned into word numbers of the evaluation
+The n-grams of the normalised evaluation items form a hash set that is broadcast in blocks of items
+with at most MAX_GRAMS n-grams, each of which scans the corpus once; a Python worker builds a block's
+set once. Each batch of documents is turned into word numbers of the evaluation
 vocabulary, runs of at least n known words are cut into windows and looked up, and every hit is
-verified word by word, as the key of the set is the window itself. Documents are scanned whole, in
-one pass and without a shuffle.
+verified word by word, as the key of the set is the window itself. Documents are scanned whole and
+without a shuffle. To remove spans, documents pass through the blocks one after the other, each of
+which notes its spans, and are cut once at the end.
 
 Defined results: documents and items with null text or id are left out; items of fewer than n words are
 never found; equal rows count once; ties between items that share a passage give one row each; an
@@ -13,7 +15,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from utterframe.session import table
 
 N = 10
 #: Most n-grams of evaluation items that are broadcast; more are scanned in blocks of items.
-MAX_GRAMS = 1_000_000
+MAX_GRAMS = 500_000
 #: Raw spellings remembered by one task.
 MAX_SPELLINGS = 300_000
 
@@ -101,87 +103,102 @@ class Scanner:
         return out
 
 
-def _find(grams: Callable[[], Grams], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    scanner = Scanner(grams())
+#: A worker's set by the number of its block; the last one only.
+BUILT: dict[int, Grams] = {}
+
+
+class Sent:
+    """A broadcast block of items; in a worker, a scanner over the set that is built from it once."""
+
+    def __init__(self, spark: SparkSession, block: list[tuple[int, str]], n: int):
+        self.block, self.n = spark.sparkContext.broadcast(block), n
+        self.number = self.block._jbroadcast.id()
+
+    def __call__(self) -> Scanner:
+        if self.number not in BUILT:
+            BUILT.clear()
+            BUILT[self.number] = Grams(self.block.value, self.n)
+        return Scanner(BUILT[self.number])
+
+
+def _find(scanner: Sent, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    scan = scanner()
     for pdf in batches:
-        pdf = pdf[pdf["text"].notna()]
         for lo in range(0, len(pdf), 2000):
             part = pdf.iloc[lo : lo + 2000]
             ids = part["doc_id"].to_numpy()
-            pairs = {(ids[k], item) for k, _, item in scanner.hits(part["text"].tolist())}
+            pairs = {(ids[k], item) for k, _, item in scan.hits(part["text"].tolist())}
             if pairs:
                 yield pd.DataFrame(sorted(pairs), columns=["doc_id", "item_id"])
 
 
-def _strip(grams: Callable[[], Grams], mark: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    scanner = Scanner(grams())
-    n = scanner.grams.n
+def _mark(scanner: Sent, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the first words of a block's hits to each document's list."""
+    scan = scanner()
     for pdf in batches:
-        pdf = pdf[pdf["text"].notna()]
-        texts = pdf["text"].tolist()
         firsts: dict[int, set[int]] = {}
-        for k, first, _ in scanner.hits(texts):
+        for k, first, _ in scan.hits(pdf["text"].tolist()):
             firsts.setdefault(k, set()).add(first)
-        clean, removed = list(texts), np.zeros(len(texts), np.int64)
-        for k, starts in firsts.items():
-            spans = [m.span() for m in WORD.finditer(texts[k].replace("_", " "))]
-            real = [i for i, (a, b) in enumerate(spans) if search_form(texts[k][a:b])]
-            rank = {i: j for j, i in enumerate(real)}
-            out, at, done = [], 0, -1
-            for s in sorted(starts):
-                last = real[rank[s] + n - 1]
-                lo = max(spans[s][0], at)
-                if s > done:
-                    out += [texts[k][at : spans[s][0]], mark]
-                removed[k] += last - max(s, done + 1) + 1
-                at, done = max(spans[last][1], lo), last
-            clean[k] = "".join(out) + texts[k][at:]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "text": clean, "n_words_removed": removed})
-
-
-def _item_blocks(items: DataFrame, n: int, max_grams: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks whose n-grams are few enough to be broadcast.
-
-    Items are streamed to the driver; they are evaluation sets, and a block never holds more than
-    max_grams words, so nothing grows with the corpus.
-    """
-    blocks, words = [[]], 0
+        yield pdf.assign(firsts=[sorted({*old, *firsts.get(k, ())}) for k, old in enumerate(pdf["firsts"])])
+
+
+def cut_spans(text: str, firsts: list[int], n: int, mark: str) -> tuple[str, int]:
+    """A text without the n words from each of `firsts` on, and how many words that takes."""
+    spans = [m.span() for m in WORD.finditer(text.replace("_", " "))]
+    real = [i for i, (a, b) in enumerate(spans) if search_form(text[a:b])]
+    rank = {i: j for j, i in enumerate(real)}
+    out, at, done, removed = [], 0, -1, 0
+    for s in firsts:
+        last = real[rank[s] + n - 1]
+        if s > done:
+            out += [text[at : spans[s][0]], mark]
+        removed += last - max(s, done + 1) + 1
+        at, done = max(spans[last][1], at), max(last, done)
+    return "".join(out) + text[at:], removed
+
+
+def _cut(n: int, mark: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        done = [cut_spans(t, list(f), n, mark) if len(f) else (t, 0) for t, f in zip(pdf["text"], pdf["firsts"])]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "text": [t for t, _ in done], "n_words_removed": [k for _, k in done]})
+
+
+def _item_blocks(items: DataFrame, n: int, max_grams: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most max_grams words (or one item), one at a time: the driver holds
+    a single block."""
+    block, words = [], 0
     for row in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().toLocalIterator():
         size = len(words_of(row.text))
         if size < n:
             continue
-        if words + size > max_grams and blocks[-1]:
-            blocks.append([])
-            words = 0
-        blocks[-1].append((row.item_id, row.text))
+        if words + size > max_grams and block:
+            yield block
+            block, words = [], 0
+        block.append((row.item_id, row.text))
         words += size
-    return blocks
+    yield block
 
 
-def _scan(documents: DataFrame, items: DataFrame, run: Callable, schema: str, n: int = N, max_grams: int = MAX_GRAMS) -> DataFrame:
-    sc, out = documents.sparkSession.sparkContext, None
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    for block in _item_blocks(items, n, max_grams):
-        sent = sc.broadcast(block)
-        part = docs.mapInPandas(lambda batches, sent=sent: run(lambda: Grams(sent.value, n), batches), schema)
-        out = part if out is None else out.unionAll(part)
-    return out
+def _scanners(documents: DataFrame, items: DataFrame, n: int, max_grams: int) -> Iterator[Sent]:
+    return (Sent(documents.sparkSession, block, n) for block in _item_blocks(items, n, max_grams))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, n: int = N, max_grams: int = MAX_GRAMS) -> DataFrame:
     """(doc_id, item_id) of the documents that hold n consecutive words of an item."""
-    return _scan(documents, items, _find, "doc_id bigint, item_id bigint", n, max_grams).distinct()
-
+    docs, out = documents.select("doc_id", "text").where("doc_id is not null and text is not null"), None
+    for scanner in _scanners(documents, items, n, max_grams):
+        part = docs.mapInPandas(lambda batches, scanner=scanner: _find(scanner, batches), "doc_id bigint, item_id bigint")
+        out = part if out is None else out.unionAll(part)
+    return out.distinct()
 
-def without_leaks(documents: DataFrame, items: DataFrame, mark: str = "", n: int = N) -> DataFrame:
-    """(doc_id, text, n_words_removed): the documents with every leaked span cut out.
 
-    All items must fit one block (MAX_GRAMS), as spans of several items may overlap.
-    """
-    block = _item_blocks(items, n, MAX_GRAMS)
-    if len(block) > 1:
-        raise ValueError("the items exceed one block; remove spans block by block")
-    return _scan(documents, items, lambda grams, batches: _strip(grams, mark, batches), "doc_id bigint, text string, n_words_removed bigint", n)
+def without_leaks(documents: DataFrame, items: DataFrame, mark: str = "", n: int = N, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """(doc_id, text, n_words_removed): the documents with every leaked span cut out. Spans of several
+    items may overlap, within a block and between blocks."""
+    docs = documents.select("doc_id", "text", F.array().cast("array<int>").alias("firsts")).where("doc_id is not null and text is not null")
+    for scanner in _scanners(documents, items, n, max_grams):
+        docs = docs.mapInPandas(lambda batches, scanner=scanner: _mark(scanner, batches), docs.schema)
+    return docs.mapInPandas(lambda batches: _cut(n, mark, batches), "doc_id bigint, text string, n_words_removed bigint")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
