@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,14 @@ def log_add(a: Column, b: Column) -> Column:
     return high + F.log1p(F.exp(low - high))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often a lambda inside refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def log_softmax(values: Column) -> Column:
-    top = F.array_max(values).cast("double")
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
-    return F.transform(values, lambda x: x.cast("double") - top - F.ln(total))
+    total = bound(F.array_max(values).cast("double"), lambda top: top + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))))
+    return bound(total, lambda t: F.transform(values, lambda x: x.cast("double") - t))
 
 
 def argmax(values: Column) -> Column:

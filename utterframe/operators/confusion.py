@@ -7,12 +7,12 @@ from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterframe.functions.maths import negative_log
 from utterframe.operators.alignment import align_grams
-from utterframe.session import cut_lineage, spread
+from utterframe.session import cut_lineage, small_enough, spread, written
 
 #: Largest alphabet whose graph is handled on the driver.
 MAX_SYMBOLS = 5000
@@ -46,37 +46,48 @@ def graph_components(edges: list[tuple[str, str]], symbols: list[str]) -> list[t
 
 
 def alphabet_components(pairs: DataFrame, i: str, j: str, p: str, above: float) -> DataFrame:
-    """Components of the graph of symbols whose symmetric value exceeds a threshold.
+    """(symbol, component, size, diameter) of the graph of symbols whose symmetric value exceeds a
+    threshold; components by falling size, then by first symbol.
 
-    The graph is that of an alphabet; a larger one goes through `label_propagation`.
+    The graph of an alphabet is handled on the driver. One of more than MAX_SYMBOLS symbols goes
+    through `label_propagation`; its diameters, which need all distances, are null.
     """
     spark = pairs.sparkSession
-    rows = pairs.select(i, j, (F.col(p) > above).alias("edge")).limit(MAX_SYMBOLS * MAX_SYMBOLS + 1).collect()
-    symbols = sorted({x for r in rows for x in r[:2]})
-    if len(symbols) > MAX_SYMBOLS:
-        raise ValueError("too many symbols for one machine; use label_propagation")
-    out = graph_components([(r[0], r[1]) for r in rows if r[2] and r[0] != r[1]], symbols)
-    return spark.createDataFrame(out, "symbol string, component int, size int, diameter int")
-
-
-def label_propagation(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+    schema = "symbol string, component int, size int, diameter int"
+    pairs = written(pairs.select(i, j, p))
+    symbols = pairs.select(F.explode(F.array(i, j)).alias("symbol")).where("symbol is not null").distinct()
+    edges = pairs.where((F.col(p) > above) & (F.col(i) != F.col(j))).select(F.col(i).alias("a"), F.col(j).alias("b"))
+    if small_enough(symbols, MAX_SYMBOLS):
+        out = graph_components([tuple(r) for r in edges.distinct().collect()], [r.symbol for r in symbols.collect()])
+        return spark.createDataFrame(out, schema)
+    labels = symbols.join(label_propagation(edges, "a", "b").withColumnRenamed("node", "symbol"), "symbol", "left").withColumn("label", F.coalesce("label", "symbol"))
+    sizes = labels.groupBy("label").agg(F.count("*").cast("int").alias("size"))
+    # The number of a component is its place among all: counts per size first, then within a size.
+    of_size = sizes.groupBy("size").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("size").orderBy("label")) - 1
+    numbered = sizes.withColumn("place", place).join(of_size.select("size", before.alias("before")), "size")
+    out = labels.join(numbered.select("label", "size", (F.col("before") + F.col("place")).cast("int").alias("component")), "label")
+    return out.select("symbol", "component", "size", F.lit(None).cast("int").alias("diameter"))
+
+
+def label_propagation(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): each node with the least node of its component, for graphs of any size.
 
     Each round takes the least label among the neighbours and then the label of the label, which
-    halves the distance to go; rounds end when nothing changes.
+    halves the distance to go; rounds end when nothing changes. Labels only ever fall, so they do.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionAll(edges.select(F.col(b), F.col(a))).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("label")))
-    for _ in range(rounds):
+    changed = True
+    while changed:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("other"))
         next_ = labels.join(near, "node").select("node", F.least("label", "other").alias("label"))
         jump = next_.join(next_.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
         next_ = cut_lineage(jump.select("node", F.least(F.col("label"), F.coalesce("root", "label")).alias("label")))
-        changed = next_.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
+        changed = bool(next_.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count())
         labels = next_
-        if not changed:
-            break
     return labels
 
 

@@ -280,15 +280,15 @@ QUERIES = {n: f for n, f in list(globals().items()) if n[:3] in ("txt", "flt", "
 _R = f"with {RECORDS_SQL}"
 _MAP = "map {" + ", ".join(f"'{chr(X.FIRST + i)}': '{s}'" for i, s in enumerate(X.SYLLABLES)) + "}"
 _TRANSLIT = f"array_to_string(list_transform(string_split(@, ''), lambda c: coalesce({_MAP}[c], c)), '')"
-_ASCII = "regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g')"
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 _PHONEMES = "(" + X.PHONEME_PATTERN.replace("'", "''") + ")"
 _CATS = "case " + " ".join("when s in (" + ", ".join("'" + x.replace("'", "''") + "'" for x in v) + f") then '{k}'" for k, v in X.PHONEMES.items()) + " else 'other' end"
 
 SQL = {
-    "txt01_normalized": f"select doc_id, trim(regexp_replace(regexp_replace(translate(lower({_ASCII}), '`', ''''), '[,?.!;:\"%()\\[\\]{{}}-]', '', 'g'), '\\s+', ' ', 'g')) as text from documents",
-    "txt03_cleaned": f"select doc_id, trim(regexp_replace(regexp_replace({_ASCII}, '[\\t\\r\\n*_~|/\\\\<>]', ' ', 'g'), '\\s+', ' ', 'g')) as text from documents",
-    "txt05_phonetics": f"""with t as (select distinct sample_id, {_TRANSLIT.replace('@', 'syllabary_raw')} as p from syllabary_samples where regexp_full_match(syllabary_raw, '[Ꭰ-Ᏼ ,.?]+'))
-select distinct sample_id, regexp_replace(regexp_replace(regexp_replace(p, '([^ht\\s])s', '\\1hs', 'g'), '([aeiouv])([aeiouv])', '\\1''\\2', 'g'), '([aeiouv])([aeiouv])', '\\1''\\2', 'g') as phonetics from t""",
+    "txt01_normalized": f"""select doc_id, trim(regexp_replace(regexp_replace(translate(lower(nfc_normalize(text)), '’‘ʼʻ`´‛', repeat('''', 7)), '[,?.!;:"“%”\\\\()\\[\\]{{}}«»…-]', '', 'g'), '{_SPACE}+', ' ', 'g')) as text from documents""",
+    "txt03_cleaned": f"""select doc_id, lower(trim(regexp_replace(regexp_replace(text, '[\\[\\]"().\\x{{0f7b}}_|》?!/,<…>*-]', ' ', 'g'), '{_SPACE}+', ' ', 'g'))) as text from documents""",
+    "txt05_phonetics": f"""with t as (select distinct sample_id, {_TRANSLIT.replace('@', 'upper(syllabary_raw)')} as p from syllabary_samples)
+select distinct sample_id, regexp_replace(regexp_replace(regexp_replace(p, '([^ht\\s\\x{{0b}}\\x{{85}}\\p{{Z}}])s', '\\1hs', 'g'), '([aeiouvAEIOUV])([aeiouvAEIOUV])', '\\1''\\2', 'g'), '([aeiouvAEIOUV])([aeiouvAEIOUV])', '\\1''\\2', 'g') as phonetics from t""",
     "txt07_base_transliteration": f"select distinct record_id, {_TRANSLIT.replace('@', 'syllabary_text')} as base from enrichment_records where regexp_full_match(syllabary_text, '[Ꭰ-Ᏼ ]+')",
     "txt10_single_vowels": _R + " select distinct record_id, " + "regexp_replace(" * 6 + "ref" + "".join(f", '{v}{v}+', '{v}', 'g')" for v in X.VOWELS) + " as text from records",
     "txt14_phonemes": _R + f""", p as (select record_id, unnest(regexp_extract_all(ref, '{_PHONEMES}')) as s, unnest(range(0, len(regexp_extract_all(ref, '{_PHONEMES}')))) as i from (select distinct record_id, ref from records))

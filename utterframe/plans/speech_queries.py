@@ -244,14 +244,14 @@ SQL = {
     "agg22_maximisation_step": BIGRAMS_SQL + """, q as (select src, tgt, n / sum(n) over (partition by src) as q from bigrams where n >= 3), w as (select b.src, b.tgt, n + 0.5 * coalesce(q, 0) as w, coalesce(q, 0) as q from bigrams b left join q using (src, tgt)),
 p as (select src, w / sum(w) over (partition by src) as p, q from w) select src, round(max(abs(p - q)) + 1e-9, 6) as change, count(*) as n_targets from p group by src""",
     "win14_uniform_words": f"with {WORDS_SQL}, {CHUNKS_SQL}, w as (select interval_id, cs, ce, count(*) over (partition by chunk_id) as n, row_number() over (partition by chunk_id order by s, e, interval_id) - 1 as i from words join chunks using (chunk_id)) select interval_id, cs + (ce - cs) * i // n as start_ms, cs + (ce - cs) * (i + 1) // n as end_ms from w",
-    "snk11_wide_matrix": _C + " select source_id, " + ", ".join(f'count(*) filter (profile = \'{p}\') as "{p}"' for p in ("default", "dialogue", "longform", "scripture", "training")) + " from chunks group by source_id",
+    "snk11_wide_matrix": _C + " select source_id, " + ", ".join(f'count(*) filter (profile = \'{p}\') as "{p}"' for p in ("default", "dialogue", "longform", "scripture", "training", "tune-a")) + ", count(*) filter (profile not in (select profile from aligner_config where profile is not null) and profile <> 'default') as other from chunks group by source_id",
     "set08_three_splits": "select case when split in ('train', 'training') then 'train' when split = 'test' then 'test' else 'valid' end as part, count(*) as n from (select distinct sample_id, lower(trim(split)) as split from syllabary_samples) where split in ('train', 'training', 'test', 'valid', 'validation', 'dev', 'eval') group by 1",
     "set10_distinct_words": _W + " select distinct lower(emitted_word) as word from words where emitted_word is not null",
     "srt11_viewer_order": _W + " select chunk_id, count(*) filter (flagged) as n_flagged, min(case when not isnan(confidence) then confidence end) as least from words where chunk_id is not null group by chunk_id order by n_flagged desc, least nulls last, chunk_id limit 100",
-    "jon15_running_prefix": "select line_id, cast(sum(n) over (partition by source_id, seq // 200 order by seq, line_id rows unbounded preceding) as bigint) as upto from (select distinct line_id, source_id, seq, len(string_split(raw_text, ' ')) as n from codeswitched_lines where seq is not null)",
+    "jon15_running_prefix": "select line_id, cast(sum(n) over (partition by source_id order by seq, line_id rows unbounded preceding) as bigint) as upto from (select distinct line_id, source_id, seq, len(string_split(raw_text, ' ')) as n from codeswitched_lines where seq is not null)",
     "em02_log_costs": BIGRAMS_SQL + " select src, tgt, round(greatest(0, -ln(n / sum(n) over (partition by src))) + 1e-9, 6) as cost from bigrams",
     "int06_long_chunks": _C + ", n as (select *, cast(ceil((ce - cs) / 20000) as bigint) as n from chunks), k as (select chunk_id, cs, ce, n, unnest(range(0, n)) as k from n where n > 1) select chunk_id, k, cs + (ce - cs) * k // n as start_ms, cs + (ce - cs) * (k + 1) // n as end_ms from k",
-    "int07_speaker_turns": """with l as (select distinct line_id, source_id, seq, coalesce(speaker, '?') as speaker, seq // 500 as block from codeswitched_lines where seq is not null), g as (select *, lag(speaker) over (partition by source_id, block order by seq, line_id) as last from l),
-t as (select *, sum(case when last is distinct from speaker then 1 else 0 end) over (partition by source_id, block order by seq, line_id rows unbounded preceding) as turn from g)
-select source_id, block, cast(turn as bigint) as turn, min(speaker) as speaker, min(seq) as first_seq, max(seq) as last_seq, count(*) as n from t group by all""",
+    "int07_speaker_turns": """with l as (select distinct line_id, source_id, seq, coalesce(speaker, '?') as speaker from codeswitched_lines where seq is not null), g as (select *, lag(speaker) over (partition by source_id order by seq, line_id) as last from l),
+t as (select *, sum(case when last is distinct from speaker then 1 else 0 end) over (partition by source_id order by seq, line_id rows unbounded preceding) as turn from g)
+select source_id, cast(turn as bigint) as turn, min(speaker) as speaker, min(seq) as first_seq, max(seq) as last_seq, count(*) as n from t group by all""",
 }

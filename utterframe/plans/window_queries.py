@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from utterframe.functions.maths import argmax, log_softmax, soft_gate, top_k
 from utterframe.functions.text import body_of, speaker_of
 from utterframe.operators.interval_union import interval_periods
-from utterframe.operators.ranking import first_per
-from utterframe.operators.windows import apportioned, carried, carried_over_blocks, dilated, fused, gap_filled, generated_id, islands, label_runs, midpoint_boundaries, overlapping_windows, padded_intervals, quietest_window, run_starts, tumbling_level
+from utterframe.operators.windows import apportioned, carried, carried_over_blocks, dilated, fused, gap_filled, generated_id, islands, label_runs, midpoint_boundaries, overlapping_windows, padded_intervals, quietest_window, run_starts, running_sum, tumbling_level, turns
 from utterframe.plans.common import CHUNKS_SQL, WORDS_SQL, chunks, words
 from utterframe.session import table
 
@@ -157,27 +156,28 @@ def mth08_soft_gate(spark: SparkSession, d: str) -> DataFrame:
     return df.select("vec_id", F.posexplode("g").alias("i", "x")).select("vec_id", "i", F.round("x", 5).alias("x"))
 
 
+def _best_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Best id of each frame of a label's sequence, in blocks that follow the order of the frames."""
+    return table(spark, d, "embeddings").select("label", F.floor(F.col("vec_id") / 1000).alias("block"), "vec_id", argmax(F.col("embedding")).alias("best"), F.array_max("embedding").alias("top"))
+
+
 def aln19_greedy_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Best ids of the frames of each label, runs once, id 0 as pad; frames in stretches of 1,000."""
-    f = table(spark, d, "embeddings").select("label", F.floor(F.col("vec_id") / 1000).alias("block"), "vec_id", (argmax(F.col("embedding")) % 8).alias("best"))
-    kept = run_starts(f, ["label", "block"], ["vec_id"], "best").where("best <> 0")
-    return kept.groupBy("label", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "best"))), lambda x: x.best.cast("string")), " ").alias("ids"), F.count("*").alias("n"))
+    """Best ids of the frames of each label, each run once, id 0 as pad."""
+    runs = turns(_best_frames(spark, d), ["label"], "block", ["vec_id"], "best", "run")
+    return runs.where("best <> 0").groupBy("label", "run").agg(F.min("best").alias("id"), F.min("vec_id").alias("first"), F.count("*").alias("n"))
 
 
 def aln21_peaks(spark: SparkSession, d: str) -> DataFrame:
-    """For each run of equal best ids, the frame with the highest value."""
-    f = table(spark, d, "embeddings").select("label", F.floor(F.col("vec_id") / 1000).alias("block"), "vec_id", (argmax(F.col("embedding")) % 4).alias("best"), F.array_max("embedding").alias("top"))
-    last = F.lag("best").over(Window.partitionBy("label", "block").orderBy("vec_id"))
-    runs = islands(f.withColumn("last", last), ["label", "block"], ["vec_id"], F.col("last") != F.col("best"), "run")
-    return first_per(runs, ["label", "block", "run"], [F.desc("top"), F.col("vec_id")]).select("label", "block", "run", "vec_id", "best")
+    """For each run of equal best ids, the first frame with the highest value."""
+    runs = turns(_best_frames(spark, d), ["label"], "block", ["vec_id"], "best", "run")
+    return runs.groupBy("label", "run").agg(F.max_by("vec_id", F.struct(F.col("top"), -F.col("vec_id"))).alias("vec_id"), F.min("best").alias("best"))
 
 
 def aln22_word_confidences(spark: SparkSession, d: str) -> DataFrame:
     """Frames between delimiters (id 1) as words: their mean best value and extent."""
-    f = table(spark, d, "embeddings").select("label", F.floor(F.col("vec_id") / 1000).alias("block"), "vec_id", (argmax(F.col("embedding")) % 6).alias("best"), F.round(F.array_max("embedding").cast("double"), 4).alias("top"))
-    w = Window.partitionBy("label", "block").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
-    f = f.withColumn("word_no", F.sum((F.col("best") == 1).cast("int")).over(w)).where("best <> 1")
-    return f.groupBy("label", "block", "word_no").agg(F.round(F.avg("top") + 1e-9, 4).alias("confidence"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+    f = _best_frames(spark, d).withColumn("top", F.round(F.col("top").cast("double"), 4)).withColumn("mark", (F.col("best") == 1).cast("int"))
+    f = running_sum(f, ["label"], "block", ["vec_id"], "mark", "word_no").where("best <> 1")
+    return f.groupBy("label", "word_no").agg(F.round(F.avg("top") + 1e-9, 4).alias("confidence"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n[:3] in ("win", "int", "str", "srt", "mth", "aln") and callable(f) and n[3:5].isdigit()}
@@ -187,7 +187,8 @@ _WC = f"with {WORDS_SQL}, {CHUNKS_SQL}, cw as (select w.* exclude (source_id), c
 _RUNS = """, l as (select *, lag({x}) over (partition by chunk_id order by s, interval_id) as last from cw where {cond}), g as (
   select *, sum(case when last is distinct from {x} then 1 else 0 end) over (partition by chunk_id order by s, interval_id rows unbounded preceding) as k from l)"""
 _FRAMES = "with v as (select vec_id, label, unnest(range(0, len(embedding))) as i, cast(unnest(embedding) as double) as x from embeddings)"
-_BEST = "with f as (select label, vec_id // 1000 as block, vec_id, (list_position(embedding, list_max(embedding)) - 1) % {m} as best, list_max(embedding) as top from embeddings)"
+_BEST = "with f as (select label, vec_id, list_position(embedding, list_max(embedding)) - 1 as best, list_max(embedding) as top from embeddings)"
+_BEST_RUNS = _BEST + ", l as (select *, lag(best) over (partition by label order by vec_id) as last from f), g as (select *, cast(sum(case when last is distinct from best then 1 else 0 end) over (partition by label order by vec_id rows unbounded preceding) as bigint) as run from l)"
 
 SQL = {
     "win01_run_collapse": _W + ", l as (select *, lag(flagged) over (partition by chunk_id order by s, interval_id) as last from cw where flagged is not null) select chunk_id, interval_id, flagged from l where last is distinct from flagged",
@@ -200,7 +201,7 @@ n as (select *, coalesce(lag(mid) over (partition by chunk_id order by s, e, int
 o as (select interval_id, max(a) over (partition by chunk_id order by s, e, interval_id rows unbounded preceding) as new_start, b from n) select interval_id, new_start, greatest(b, new_start) as new_end from o""",
     "win06_speaker_carry": r"""with l as (select distinct line_id, source_id, seq, raw_text, case when contains(raw_text, ':') and length(trim(split_part(raw_text, ':', 1))) between 1 and 40 and length(trim(regexp_extract(raw_text, '(?s)^[^:]*:(.*)$', 1))) > 0
     then trim(split_part(raw_text, ':', 1)) end as named from codeswitched_lines where seq is not null)
-select line_id, last_value(named ignore nulls) over (partition by source_id, seq // 500 order by seq, line_id rows unbounded preceding) as speaker, trim(case when named is null then raw_text else regexp_extract(raw_text, '(?s)^[^:]*:(.*)$', 1) end) as body from l""",
+select line_id, last_value(named ignore nulls) over (partition by source_id order by seq, line_id rows unbounded preceding) as speaker, trim(case when named is null then raw_text else regexp_extract(raw_text, '(?s)^[^:]*:(.*)$', 1) end) as body from l""",
     "win07_end_carry": _W + " select interval_id, coalesce(last_value(case when emitted_word is not null then e end ignore nulls) over (partition by chunk_id order by s, e, interval_id rows unbounded preceding), 0) as last_end from cw",
     "win08_dilation": _W + " select interval_id, max(confidence) over (partition by chunk_id order by s, e, interval_id rows between 2 preceding and 2 following) as best from cw where confidence is not null and not isnan(confidence)",
     "win09_overlapping_windows": _W + ", p as (select chunk_id, row_number() over (partition by chunk_id order by s, e, interval_id) - 1 as place from cw), q as (select chunk_id, place, greatest(cast(floor((place - 1) / 28) as bigint), 0) as window_no from p) select chunk_id, window_no, count(*) as n, min(place - window_no * 28) as first, max(place - window_no * 28) as last from q group by all",
@@ -230,8 +231,7 @@ select user_id, cast(session as bigint) as session, count(*) as n, max(t) - min(
     "mth05_log_softmax": _FRAMES + " select vec_id, i, round(x - max(x) over w - ln(sum(exp(x - m)) over w), 5) as x from (select *, max(x) over (partition by vec_id) as m from v) window w as (partition by vec_id)",
     "mth08_soft_gate": _FRAMES + """, s as (select vec_id, label, i, x - m - ln(sum(exp(x - m)) over (partition by vec_id)) as lp from (select *, max(x) over (partition by vec_id) as m from v))
 select vec_id, i, round(ln(greatest((label % 10 + 0.5) / 10 * exp(lp) + case when i = 0 then 1 - (label % 10 + 0.5) / 10 else 0 end, 1e-12)), 5) as x from s""",
-    "aln19_greedy_decode": _BEST.format(m=8) + ", l as (select *, lag(best) over (partition by label, block order by vec_id) as last from f) select label, block, string_agg(cast(best as varchar), ' ' order by vec_id) as ids, count(*) as n from l where last is distinct from best and best <> 0 group by all",
-    "aln21_peaks": _BEST.format(m=4) + """, l as (select *, lag(best) over (partition by label, block order by vec_id) as last from f), g as (select *, sum(case when last is null or last <> best then 1 else 0 end) over (partition by label, block order by vec_id rows unbounded preceding) as run from l)
-select label, block, cast(run as bigint) as run, vec_id, best from g qualify row_number() over (partition by label, block, run order by top desc, vec_id) = 1""",
-    "aln22_word_confidences": _BEST.format(m=6) + ", g as (select *, sum(case when best = 1 then 1 else 0 end) over (partition by label, block order by vec_id rows unbounded preceding) as word_no from f) select label, block, cast(word_no as bigint) as word_no, round(avg(round(cast(top as double), 4)) + 1e-9, 4) as confidence, min(vec_id) as first, max(vec_id) as last from g where best <> 1 group by all",
+    "aln19_greedy_decode": _BEST_RUNS + " select label, run, min(best) as id, min(vec_id) as first, count(*) as n from g where best <> 0 group by all",
+    "aln21_peaks": _BEST_RUNS + " select label, run, vec_id, best from g qualify row_number() over (partition by label, run order by top desc, vec_id) = 1",
+    "aln22_word_confidences": _BEST + ", g as (select *, sum(case when best = 1 then 1 else 0 end) over (partition by label order by vec_id rows unbounded preceding) as word_no from f) select label, cast(word_no as bigint) as word_no, round(avg(round(cast(top as double), 4)) + 1e-9, 4) as confidence, min(vec_id) as first, max(vec_id) as last from g where best <> 1 group by all",
 }
