@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from utterframe.functions import text as X
 from utterframe.functions.text import intrusion_mask, syncope_mask
-from utterframe.functions.tones import enriched_syllable, mora_streams, numbered_tones, reconciled, resolve_hiatus, to_syllabary, tone_contour
+from utterframe.functions.tones import canonical_toned, enriched_syllable, mora_letters, mora_streams, mora_tokens, numbered_tones, reconciled, resolve_hiatus, syllabary_writing, to_syllabary, tone_contour, without_asterisks
 
 
 def one(spark, fn, *values):
@@ -50,14 +50,25 @@ def test_masks():
     assert bits(intrusion_mask("a'ka")) == "1001" and syncope_mask("") == intrusion_mask("") == []
 
 
-def test_tones():
+def test_tones(spark):
     assert numbered_tones("gádò") == "ga3do21" and numbered_tones("na:") == "na22" and numbered_tones("") == ""
     assert mora_streams("na3 a2ni22tshu34tsa2") == ("na anitshutsa", "C 3_1 | 2_1 C 2_1 2_2 C 3_1 4_2 C 2_1")
-    assert tone_contour("C 3_1 | 2_1 2_2") == [(1, 3), (3, 2), (4, 2)]
+    assert [tuple(p) for p in one(spark, tone_contour, "C 3_1 | 2_1 2_2")[0]] == [(1, 3), (3, 2), (4, 2)]
+    toned = "na3 a2ni22tshu34tsa2"
+    assert one(spark, mora_letters, toned, None) == [mora_streams(toned)[0], None] and one(spark, mora_tokens, toned, None) == [mora_streams(toned)[1], None]
     assert resolve_hiatus("inakei") == "inake'i" and resolve_hiatus("aa a:a") == "aa a:'a"
 
 
-def test_writing():
+def test_canonical_tones(spark):
+    got = one(spark, canonical_toned, "na3 a2ni22tshu34tsa2", "ná à:nìdzú", "deh:yv", "ga:́̂", "a::", "so;sda; x’", "", None)
+    assert got[:3] == ["na3 a2ni22tshu34tsa2", "na3 a21ni21tzu3", "te2yhv2"]
+    assert got[4] is None and got[6:] == ["", None] and got[5] == "so22hsta2 x"
+    assert one(spark, without_asterisks, "ì*:sgv", "pre*stem*suf", "*word*next", "none") == ["ì:sgv", "pre stem suf", "word next", "none"]
+
+
+def test_writing(spark):
+    samples = ["tsalaki", "galohsga x", "thv hsi", "", "hlhsq 'a", "sdanh", "losh hsh", "skhwa hsqx"]
+    assert one(spark, syllabary_writing, *samples, None) == [*map(to_syllabary, samples), None]
     assert to_syllabary("tsalaki") == "ᏣᎳᎩ" and to_syllabary("galohsga x") == "ᎦᎶᏍᎦ x"
     assert to_syllabary("thv hsi") == "Ꮫ Ꮟ" and to_syllabary("") == ""
 

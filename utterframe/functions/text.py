@@ -19,7 +19,7 @@ SYLLABLES = (
 ).split()
 FIRST = 0x13A0
 VOWELS = "aeiouv"
-GLOTTALS = "'’ʼʔ‘ʻ`"
+GLOTTALS = "'’ʼʔ‘ʻ`‚?"
 # Phoneme symbols by category.
 PHONEMES = {
     "sibilant_cluster": ("hskw", "hsts", "hsk", "hst", "hsl", "slh"),
@@ -120,11 +120,28 @@ def syllabary_to_phonetics(text: Column, contextual: bool = True) -> Column:
     return F.regexp_replace(aspirated, r"([aeiouvAEIOUV])(?=[aeiouvAEIOUV])", "$1'")
 
 
+# One apostrophe for every glottal sign, none after a consonant or before a word's first
+# one. v, though a vowel, counts as a consonant here as in the rule that this must equal.
+_C = "[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]"
+GLOTTAL_RULES = [(f"[{GLOTTALS}]+", "'"), (f"(?<={_C})'+", ""), (f"(?<!\\S)'+(?={_C})", "")]
+# S takes an h before it within a word, and none at a word's beginning.
+SIBILANT_RULES = [(r"([^ht\s])s", "$1hs"), (r"(?<!\S)hs", "s")]
+# d/g spelling to t/th spelling; the order of the steps is part of the rule.
+RESPELLING = [
+    *GLOTTAL_RULES, ("t(?![sh])", "th"), ("d", "t"), ("k(?!h)", "kh"), ("g", "k"), ("j", "ts"), ("ch", "tsh"), ("hn", "nh"), ("hl", "lh"),
+    ("hy", "yh"), ("hw", "wh"), ("sl(?=[aeiouvAEIOUV])", "slh"), *SIBILANT_RULES, *GLOTTAL_RULES,
+]
+
+
+def _rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, by in rules:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
 def standardize_glottals(text: Column) -> Column:
     """One apostrophe for every glottal sign; none after a consonant or before a word's first one."""
-    one = F.regexp_replace(F.translate(text, GLOTTALS, "'" * len(GLOTTALS)), "'+", "'")
-    after = F.regexp_replace(one, "(?<=[b-df-hj-np-tw-z])'+", "")
-    return F.regexp_replace(after, r"(?<!\S)'+(?=[b-df-hj-np-tw-z])", "")
+    return _rewritten(text, GLOTTAL_RULES)
 
 
 def strip_tones(text: Column) -> Column:
@@ -137,15 +154,8 @@ def collapse_double_vowels(text: Column) -> Column:
 
 
 def respell_consonants(text: Column) -> Column:
-    """d/g spelling to t/th spelling; the order of the steps is part of the rule."""
-    out = standardize_glottals(text)
-    steps = (
-        ("t(?![sh])", "th"), ("d", "t"), ("k(?!h)", "kh"), ("g", "k"), ("j", "ts"), ("ch", "tsh"), ("hn", "nh"), ("hl", "lh"),
-        ("hy", "yh"), ("hw", "wh"), ("sl(?=[aeiouvAEIOUV])", "slh"), (r"([^ht\s])s", "$1hs"), (r"(?<!\S)hs", "s"),
-    )
-    for pattern, by in steps:
-        out = F.regexp_replace(out, pattern, by)
-    return standardize_glottals(out)
+    """d/g spelling to t/th spelling."""
+    return _rewritten(text, RESPELLING)
 
 
 def dg_to_tth(text: Column) -> Column:
@@ -154,7 +164,6 @@ def dg_to_tth(text: Column) -> Column:
 
 
 _PHONEME = re.compile(PHONEME_PATTERN, re.IGNORECASE)
-_CONSONANTS = {"plain_stop", "aspirated_stop", "plain_sonorant", "voiceless_sonorant", "sibilant", "sibilant_cluster"}
 _SPANS = T.ArrayType(T.StructType([T.StructField("symbol", T.StringType()), T.StructField("category", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -175,58 +184,52 @@ def phonemes(text: Column) -> Column:
     return run(text)
 
 
-def valid_phonotactics(text: Column) -> Column:
-    """No two laryngeals together, no glottal stop after a consonant, no stop before a voiceless sonorant."""
-
-    def bad(a: tuple, b: tuple) -> bool:
-        if a[0][-1] in "h'" and b[0][0] in "h'":
-            return True
-        return a[1] in _CONSONANTS and b[0][0] == "'" or a[1].endswith("stop") and a[1] != "glottal_stop" and b[1] == "voiceless_sonorant"
+#: Each phoneme as one letter, so that rules over neighbours are patterns: V vowel, P and A plain and
+#: aspirated stop (l and L if lateral), S sibilant (Z with its breath), R and O sounding and voiceless
+#: sonorant, K and k cluster (k with a breath at its end), H breath, Q glottal stop, X anything else.
+_LETTER = {"vowel": "V", "plain_stop": "P", "aspirated_stop": "A", "sibilant": "S", "plain_sonorant": "R", "voiceless_sonorant": "O", "sibilant_cluster": "K", "laryngeal_fricative": "H", "glottal_stop": "Q", "other": "X"}
+_SPECIAL = {"tl": "l", "tlh": "L", "hs": "Z", "slh": "k"}
+#: Two laryngeals together, a glottal stop after a consonant, a voiceless sonorant after a stop.
+_FORBIDDEN = re.compile("[ALOkHQ][ZKHQ]|[PAlLSZROKk]Q|[PAlL]O")
+#: What fast speech may drop: a vowel after a consonant, unless a stop and a voiceless sonorant would
+#: meet; and the stop of a lateral affricate.
+_DROPPABLE = re.compile("(?<=[SZROKk])V|(?<=[PAlL])V(?!O)|[lL]")
+#: Where speech may put a breath or a glottal stop: before a consonant that follows no laryngeal or
+#: cluster, before a plain consonant's vowel, and before a vowel that comes first.
+_OPEN = re.compile("(?<=[VPlSRX])[PAlLSRO]|(?<=[PlR])V|^V")
 
-    @F.pandas_udf(T.BooleanType())
-    def run(texts: pd.Series) -> pd.Series:
-        spans = [None if t is None else _spans(t) for t in texts]
-        return pd.Series([None if s is None else not any(map(bad, s, s[1:])) for s in spans], dtype=object)
 
-    return run(text)
+def _classes(spans: list[tuple]) -> str:
+    return "".join(_SPECIAL.get(symbol.lower()) or _LETTER[category] for symbol, category, _, _ in spans)
 
 
-def _by_letter(spans: list[tuple], chosen: list[bool], letters: bool, first_only: tuple[str, ...] = ()) -> list[bool]:
-    """A mask over symbols as one over letters; of some symbols only the first letter counts."""
+def _mask(pattern: re.Pattern, text: str, letters: bool, first_only: str = "") -> list[bool]:
+    """Where a pattern finds single phonemes, by phoneme or by letter; of classes in `first_only` only
+    the first letter counts."""
+    spans = _spans(text)
+    classes = _classes(spans)
+    found = {m.start() for m in pattern.finditer(classes)}
     if not letters:
-        return chosen
-    return [c and (k == 0 or symbol not in first_only) for (symbol, _, a, b), c in zip(spans, chosen) for k in range(b - a)]
-
-
-_STOPS = {"plain_stop", "aspirated_stop"}
-_LATERAL = ("tl", "tlh")
+        return [i in found for i in range(len(spans))]
+    return [i in found and (k == 0 or classes[i] not in first_only) for i, (_, _, a, b) in enumerate(spans) for k in range(b - a)]
 
 
 def syncope_mask(text: str, letters: bool = True) -> list[bool]:
-    """What fast speech may drop: a vowel after a consonant, unless a stop and a voiceless sonorant
-    would meet; and the stop of a lateral affricate."""
-    s = _spans(text)
-    around = [(x, s[i - 1] if i else None, s[i + 1] if i + 1 < len(s) else None) for i, x in enumerate(s)]
-    chosen = [
-        x[0] in _LATERAL or x[1] == "vowel" and before is not None and before[1] in _CONSONANTS and not (before[1] in _STOPS and after is not None and after[1] == "voiceless_sonorant")
-        for x, before, after in around
-    ]
-    return _by_letter(s, chosen, letters, _LATERAL)
+    return _mask(_DROPPABLE, text, letters, "lL")
 
 
 def intrusion_mask(text: str, letters: bool = True) -> list[bool]:
-    """Where speech may put a breath or a glottal stop: before a consonant that follows no laryngeal
-    or cluster, before a plain consonant's vowel, and before a vowel that comes first."""
-    s = _spans(text)
-
-    def open_to(x: tuple, before: tuple | None) -> bool:
-        if x[1] == "vowel":
-            return before is None or before[1] in ("plain_sonorant", "plain_stop") and "h" not in (before[0][0], before[0][-1])
-        if x[1] not in _CONSONANTS - {"sibilant_cluster"} or x[0][0] in "h'" or before is None:
-            return False
-        return before[1] not in ("laryngeal_fricative", "glottal_stop", "sibilant_cluster") and before[0][-1] not in "h'" and before[0] != "hs"
-
-    return _by_letter(s, [open_to(x, s[i - 1] if i else None) for i, x in enumerate(s)], letters)
+    return _mask(_OPEN, text, letters)
+
+
+def valid_phonotactics(text: Column) -> Column:
+    """Whether no forbidden neighbours stand in a text."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else not _FORBIDDEN.search(_classes(_spans(t))) for t in texts], dtype=object)
+
+    return run(text)
 
 
 def token_class(token: Column) -> Column:

@@ -51,7 +51,8 @@ def txt10_single_vowels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def txt11_respelled(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).select("record_id", X.dg_to_tth(F.col("ref")).alias("text")).distinct()
+    df = table(spark, d, "enrichment_records").select("record_id", "target_phonetics").distinct()
+    return df.select("record_id", X.dg_to_tth(F.col("target_phonetics")).alias("text")).distinct()
 
 
 def txt14_phonemes(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from utterframe.functions import text as X
 from utterframe.functions.maths import log_softmax, negative_log, soft_gate
-from utterframe.functions.tones import mora_streams, numbered_tones, reconciled, resolve_hiatus, text_udf, to_syllabary, tone_contour
+from utterframe.functions.tones import HIATUS, canonical_toned, mora_letters, mora_tokens, reconciled, rewrite, syllabary_writing, text_udf, tone_contour
 from utterframe.operators.aggregates import MAX_LABELS
 from utterframe.operators.alignment import align_grams, align_syllables
 from utterframe.operators.confusion import Matrix
@@ -32,30 +32,34 @@ def txt04_orthography_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Syllabary to phonetics and back; whether the letters are the same again."""
     s = table(spark, d, "enrichment_records").select("record_id", "syllabary_text").where("syllabary_text rlike '^[Ꭰ-Ᏼ ]+$'").distinct()
     s = s.withColumn("phonetic", X.base_transliteration(F.col("syllabary_text")))
-    return s.select("record_id", "phonetic", text_udf(to_syllabary, F.col("phonetic")).alias("back"))
+    return s.select("record_id", "phonetic", syllabary_writing(F.col("phonetic")).alias("back"))
 
 
 def txt06_syllabary(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).select("record_id", "ref").distinct().select("record_id", text_udf(to_syllabary, F.col("ref")).alias("syllabary"))
+    return records(spark, d).select("record_id", "ref").distinct().select("record_id", syllabary_writing(F.col("ref")).alias("syllabary"))
 
 
 def txt09_hiatus(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).select("record_id", "ref").distinct().select("record_id", text_udf(resolve_hiatus, F.col("ref")).alias("text"))
+    return _targets(spark, d).select("record_id", rewrite(F.col("target_phonetics"), HIATUS).alias("text")).distinct()
+
+
+def _toned(spark: SparkSession, d: str) -> DataFrame:
+    return _targets(spark, d).select("record_id", canonical_toned(F.col("target_phonetics")).alias("toned")).distinct()
 
 
 def txt12_numbered_tones(spark: SparkSession, d: str) -> DataFrame:
-    return _targets(spark, d).select("record_id", text_udf(numbered_tones, F.col("target_phonetics")).alias("toned")).distinct()
+    """Targets in the canonical spelling with numbered tones."""
+    return _toned(spark, d)
 
 
 def txt13_mora_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Letters and moraic tones of each target, apart."""
-    t = _targets(spark, d).select("record_id", text_udf(numbered_tones, F.col("target_phonetics")).alias("t")).distinct()
-    return t.select("record_id", text_udf(lambda x: mora_streams(x)[0], F.col("t")).alias("letters"), text_udf(lambda x: mora_streams(x)[1], F.col("t")).alias("tones"))
+    return _toned(spark, d).select("record_id", mora_letters(F.col("toned")).alias("letters"), mora_tokens(F.col("toned")).alias("tones"))
 
 
 def arr02_tone_contours(spark: SparkSession, d: str) -> DataFrame:
-    t = _targets(spark, d).select("record_id", text_udf(lambda x: " ".join(f"{a}:{b}" for a, b in tone_contour(mora_streams(numbered_tones(x))[1])), F.col("target_phonetics")).alias("contour"))
-    return t.distinct()
+    contour = F.transform(tone_contour(mora_tokens(F.col("toned"))), lambda p: F.concat_ws(":", p.time.cast("string"), p.pitch.cast("string")))
+    return _toned(spark, d).select("record_id", F.array_join(contour, " ").alias("contour")).distinct()
 
 
 def txt15_masks(spark: SparkSession, d: str) -> DataFrame:
