@@ -207,7 +207,7 @@ def arr05_flattened_pauses(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("source_id").agg(F.count("*").alias("n_pauses"), F.sum(F.round((F.col("p.end_sec") - F.col("p.start_sec")) * 1000 + 1e-6).cast("bigint")).alias("ms"))
 
 
-def agg26_symmetric_cover(spark: SparkSession, d: str) -> DataFrame:
+def grf01_symmetric_cover(spark: SparkSession, d: str) -> DataFrame:
     """Mean symmetric probability of each syllable with the others (GRF-01 over the corpus)."""
     p = conditional_probabilities(syllable_bigrams(spark, d), "src", "tgt", "n").select("src", "tgt", "p")
     return symmetric(p, "src", "tgt", "p").groupBy("src").agg(F.round(F.avg("p") + 1e-12, 9).alias("mean"), F.count("*").alias("n"))
@@ -215,7 +215,7 @@ def agg26_symmetric_cover(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     udf01_sql_functions, udf02_errors_in_sql, mth01_log_cost_of_words, mth10_half_even, mth07_sound_seed, flt04_decimal_comma, srt01_ordered_steps, srt05_restored_order, srt15_vocabulary_ids, jon09_words_by_place, jon12_pair_costs,
-    aln14_syllable_tiling, aln17_reconciled_words, aln24_label_masks, grf03_block_order, grf04_components_by_split, sig02_noisy_levels, str04_pcm_payloads, int05_clamped_tier, arr05_flattened_pauses, agg26_symmetric_cover,
+    aln14_syllable_tiling, aln17_reconciled_words, aln24_label_masks, grf03_block_order, grf04_components_by_split, sig02_noisy_levels, str04_pcm_payloads, int05_clamped_tier, arr05_flattened_pauses, grf01_symmetric_cover,
 )}
 
 _W, _R = f"with {WORDS_SQL}", f"with {RECORDS_SQL}"

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Separators, and names of columns and keys in the order in which they are tried.
 SEPARATORS = (",", "\t", ";", "|")
 TEXT_KEYS = ("phonetic", "raw_phonetic", "reference_sentence", "cherokee", "syllabary", "raw_text", "text")
 ID_KEYS = ("chunk_id", "line_id", "verse_id", "id")
@@ -41,8 +45,10 @@ def _from_map(entry: Column, keys: Sequence[str]) -> Column:
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(seq, chunk_id, text, meta) of a JSON object or list: texts by id, objects by id, a list of
-    objects or of bare texts. Ids that are missing are made from the place."""
+    objects or of bare texts, or any of these under `entries`. Ids that are missing are made from the
+    place."""
     raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    raw = raw.select(F.coalesce(F.when(F.col("v").startswith("{"), F.get_json_object("v", "$.entries")), F.col("v")).alias("v"))
     flat = T.MapType(T.StringType(), T.StringType())
     listed = F.transform(F.from_json("v", T.ArrayType(T.StringType())), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
     keyed = F.transform(F.map_entries(F.from_json("v", flat)), lambda e: F.struct(e.key.alias("key"), e.value.alias("value")))
@@ -53,6 +59,61 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("seq", F.coalesce("key", _from_map(F.col("meta"), ID_KEYS), made).alias("chunk_id"), text.alias("text"), "meta")
 
 
+def read_transcript(spark: SparkSession, path: str) -> DataFrame:
+    """(file, verse_id, cherokee, phonetic, english, text) of a transcript table, with or without a header.
+
+    Without one, columns are told by their number: one is a text, numbered by its line; of more, the
+    first is the id and the others are the text in the syllabary, in letters and in English.
+    """
+    names = ("cherokee", "phonetic", "english", "text")
+    head = spark.read.text(path).limit(1).collect()
+    first = head[0][0].lstrip("\ufeff").lower() if head else ""
+    sep = "\t" if "\t" in first else ","
+    if any(n in [c.strip().strip('"') for c in first.split(sep)] for n in (*ID_KEYS, *names)):
+        df = read_table(spark, path)
+        have = {c.lower(): c for c in df.columns}
+        column = lambda *keys: next((F.col(have[k]) for k in keys if k in have), F.lit(None).cast("string"))
+        return df.select(F.input_file_name().alias("file"), column(*ID_KEYS).alias("verse_id"), *[column(n).alias(n) for n in names])
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("seq", "line"))
+    cells = F.from_csv("line", "a string, b string, c string, d string", {"sep": sep})
+    rows = lines.where(F.trim("line") != "").select("file", "seq", cells.alias("x"))
+    alone = F.col("x.b").isNull()
+    verse = F.when(alone, F.lpad((F.col("seq") + 1).cast("string"), 6, "0")).otherwise(F.col("x.a"))
+    return rows.select("file", verse.alias("verse_id"), F.col("x.b").alias("cherokee"), F.col("x.c").alias("phonetic"), F.col("x.d").alias("english"), F.when(alone, F.col("x.a")).alias("text"))
+
+
+def read_matrix(spark: SparkSession, path: str, separator: str = "|") -> DataFrame:
+    """(src, tgt, value) of a matrix as JSON: values by source and target, or by both in one key."""
+    raw = spark.read.text(path, wholetext=True)
+    nested = F.map_entries(F.from_json("value", "map<string, map<string, double>>"))
+    rows = F.flatten(F.transform(nested, lambda e: F.transform(F.map_entries(e.value), lambda x: F.struct(e.key.alias("src"), x.key.alias("tgt"), x.value.alias("value")))))
+    flat = F.transform(F.map_entries(F.from_json("value", "map<string, double>")), lambda e: F.struct(F.substring_index(e.key, separator, 1).alias("src"), F.substring_index(e.key, separator, -1).alias("tgt"), e.value.alias("value")))
+    return raw.select(F.inline(F.when(F.col("value").rlike(r"^\s*\{\s*\"[^\"]*\"\s*:\s*\{"), rows).otherwise(flat)))
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, row, values) of the numeric arrays in compressed numpy archives, such as cached
+    frame scores: a row for each line of a matrix, one for a vector."""
+
+    def run(batches):
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"]):
+                with np.load(io.BytesIO(content), allow_pickle=False) as archive:
+                    for name in archive.files:
+                        if archive[name].dtype.kind in "fiub":
+                            lines = np.atleast_2d(archive[name].astype(float)).reshape(-1, archive[name].shape[-1] if archive[name].ndim else 1)
+                            yield pd.DataFrame({"file": file, "name": name, "row": range(len(lines)), "values": list(lines)})
+
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path)
+    return df.select("path", "content").mapInPandas(run, "file string, name string, row int, values array<double>")
+
+
+def read_revisions(spark: SparkSession, path: str) -> DataFrame:
+    """(name, revision) of lines that end in a hash after white space; empty lines and comments are left out."""
+    lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' and v not like '#%'")
+    return lines.select(F.regexp_extract("v", r"^(.*?)\s+(\S+)$", 1).alias("name"), F.regexp_extract("v", r"^(.*?)\s+(\S+)$", 2).alias("revision")).where("name <> ''")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(seq, line_id, text) of the non-empty lines of a transcript; files by name, lines in order."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("seq", "text"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,3 +51,16 @@ def wide_matrix(counts: DataFrame, source: str, target: str, value: str, targets
 def with_packaging(files: DataFrame, references: DataFrame, key: str) -> DataFrame:
     """Files that a split refers to, each once, with the split."""
     return files.join(references.dropDuplicates([key]), key)
+
+
+def write_matrix(cells: DataFrame, path: str, source: str, target: str, value: str) -> None:
+    """Values by source and target as JSON, one document to a line for each source."""
+    rows = F.map_from_entries(F.array_sort(F.collect_list(F.struct(target, value))))
+    cells.groupBy(source).agg(rows.alias("r")).select(F.to_json(F.create_map(F.col(source), F.col("r"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_vocabularies(spark: SparkSession, path: str, **vocabularies: dict[str, int]) -> None:
+    """Each vocabulary (an alphabet) as one JSON object of ids by token, in its folder below `path`."""
+    for name, ids in vocabularies.items():
+        text = json.dumps(dict(sorted(ids.items(), key=lambda x: x[1])), ensure_ascii=False)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
