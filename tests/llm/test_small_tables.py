@@ -151,9 +151,43 @@ def test_overlaps_against_brute_force(spark):
             u, v = (a.s, b.s) if a.s and b.s else (a.g, b.g)
             if u and v and min(len(u.split()), len(v.split())) >= 4 and abs(len(u) - len(v)) <= 0.15 * max(len(u), len(v)) and distance(u, v) <= 0.15 * max(len(u), len(v)):
                 want.add((a.sample_id, b.sample_id))
-    got = {(r.e_id, r.t_id) for r in overlaps.overlapping(overlaps.prepared(df)).collect()}
+    rows = overlaps.prepared(df)
+    got = {(r.e_id, r.t_id) for r in overlaps.overlapping(rows).collect()}
     assert want and got <= want and len(want - got) <= 0.02 * len(want)
     assert overlaps.overlapping(overlaps.prepared(df.limit(0))).count() == 0
+    listed = pd.Series([e for e, _ in got]).value_counts().to_dict()
+    assert {r.e_id: r.n for r in overlaps.overlap_counts(rows).collect()} == listed
+
+
+def test_counts_of_samples_with_several_versions(spark):
+    """Pairs are counted once, whatever the versions of a sample and however many copies there are."""
+    a, b = "aa bb cc dd ee", "aa bb cc dd ff gg hh ii"
+    rows = [(f"t{i}", "train", a, a) for i in range(5)] + [("t0", "train", b, a), ("t9", "train", None, a), ("x", "train", a, None)]
+    rows += [("e0", "test", a, None), ("e1", "dev", a, b), ("e1", "dev", b, b), ("e2", "test", None, a), ("x", "test", a, None)]
+    df = spark.createDataFrame([(*r, "src") for r in rows], "sample_id string, split string, syllabary_raw string, gt_target string, source string")
+    prepared = overlaps.prepared(df)
+    pairs = {(r.e_id, r.t_id) for r in overlaps.overlapping(prepared).collect()}
+    counts = {r.e_id: (r.n, r.same) for r in overlaps.overlap_counts(prepared).collect()}
+    assert {k: n for k, (n, _) in counts.items()} == pd.Series([e for e, _ in pairs]).value_counts().to_dict()
+    assert counts["e0"] == (6, 6) and ("x", "x") not in pairs and counts["e2"] == (6, 6)
+
+
+@pytest.mark.parametrize("field", ["s", "g"])
+def test_recall_at_the_largest_allowed_distance(spark, field):
+    """Pairs with as many random edits as are allowed, in the letters of each field."""
+    rng = random.Random(8)
+    letters, size = ([chr(c) for c in range(0x13A0, 0x13F0)], (2, 5)) if field == "s" else (list("aeiouvhklmnstwy"), (4, 10))
+    rows = []
+    for i in range(400):
+        t = " ".join("".join(rng.choices(letters, k=rng.randrange(*size))) for _ in range(rng.randrange(5, 11)))
+        near = list(t)
+        for at in rng.sample([k for k, c in enumerate(t) if c != " "], int(0.15 * len(t))):
+            near[at] = rng.choice([c for c in letters if c != t[at]])
+        rows += [(f"e{i}", "test", t), (f"t{i}", "train", "".join(near))]
+    one, other = ("syllabary_raw", "gt_target") if field == "s" else ("gt_target", "syllabary_raw")
+    df = spark.createDataFrame([(*r, None, "src") for r in rows], f"sample_id string, split string, {one} string, {other} string, source string")
+    found = overlaps.overlapping(overlaps.prepared(df)).where("substring(e_id, 2) = substring(t_id, 2)").count()
+    assert found >= 0.95 * 400
 
 
 # -- leaks -------------------------------------------------------------------
@@ -170,9 +204,25 @@ def test_leaks(spark):
     assert {tuple(r) for r in leaks.leaked_items(d, i, max_grams=12).collect()} == want
     clean = {r.doc_id: r for r in leaks.without_leaks(d, i).collect()}
     assert clean[1].n_words_removed == 12 and clean[1].text == "Start. !" and clean[2].n_words_removed == 0
+    # A limit that puts each item into a block of its own changes nothing.
+    assert {r.doc_id: r for r in leaks.without_leaks(d, i, max_grams=12).collect()} == clean
     assert leaks.leaked_items(d, i.limit(0)).count() == 0 and leaks.leaked_items(d.limit(0), i).count() == 0
 
 
+def test_leaks_whatever_the_case(spark):
+    text = "die straße war groß und der fuß maß nur ein stück weiß"
+    docs = spark.createDataFrame([(1, text.upper()), (2, "ꭰꭱ ꭲꭳ ꭴꭵ ꭶꭷ ꭸꭹ ꭺꭻ ꭼꭽ ꭾꭿ ꮀꮁ ꮂꮃ")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, text), (2, "ᎠᎡ ᎢᎣ ᎤᎥ ᎦᎧ ᎨᎩ ᎪᎫ ᎬᎭ ᎮᎯ ᎰᎱ ᎲᎳ")], "item_id bigint, text string")
+    assert sorted(map(tuple, leaks.leaked_items(docs, items).collect())) == [(1, 1), (2, 2)]
+
+
+def test_spans_that_overlap_are_cut_once():
+    words = TEXT.split()
+    assert leaks.cut_spans(TEXT, [0, 2], 10, "#") == ("#", 12)
+    assert leaks.cut_spans("x " + TEXT + " y z", [1], 10, "") == ("x  eleven twelve y z", 10)
+    assert leaks.cut_spans(" ".join(words * 2), [0, 12], 10, "#") == ("# eleven twelve # eleven twelve", 20)
+
+
 # -- packing -----------------------------------------------------------------
 def test_packing(spark):
     rng = random.Random(2)
