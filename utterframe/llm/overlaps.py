@@ -66,12 +66,16 @@ def _plain(text: str) -> str:
 
 
 @F.pandas_udf(T.StructType([T.StructField("s", T.StringType()), T.StructField("g", T.StringType())]))
-def _compared(pairs: pd.DataFrame) -> pd.DataFrame:
+def _forms(pairs: pd.DataFrame) -> pd.DataFrame:
     s = [_plain(syllabary_form(v)) or None if v is not None else None for v in pairs["syllabary_raw"]]
     g = [_plain(phonetic_form(v)) or None if v is not None else None for v in pairs["gt_target"]]
     return pd.DataFrame({"s": s, "g": g}, dtype=object)
 
 
+#: Not to be moved below the step that makes rows distinct, where it would run for every copy.
+_compared = _forms.asNondeterministic()
+
+
 def prepared(samples: DataFrame) -> DataFrame:
     """(sample_id, split, source, side, s, g) with the texts as they are compared, written once."""
     rows = samples.select("sample_id", "split", "source", split_side(F.col("split")).alias("side"), "syllabary_raw", "gt_target")
@@ -242,12 +246,14 @@ def near_classes(a: DataFrame, b: DataFrame, field: str, max_edit: float = MAX_E
     q = SHINGLES[field][0]
     pairs = pairs.withColumn("k", F.floor(F.greatest(F.length("a_text"), F.length("b_text")) * max_edit + 1e-9).cast("int"))
     pairs = pairs.where(F.abs(F.length("a_text") - F.length("b_text")) <= F.col("k"))
-    # The banded distance is cheaper than the shingle sets, so it goes first; -1: beyond k.
-    pairs = pairs.withColumn("distance", F.expr("levenshtein(a_text, b_text, k)")).where("distance >= 0")
-    pairs = pairs.withColumn("sa", _shingle_set("a_text", q)).withColumn("sb", _shingle_set("b_text", q))
-    pairs = pairs.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    pairs = pairs.where(F.col("shared") >= F.greatest(F.size("sa"), F.size("sb")) - q * F.col("k"))
-    near = pairs.select("a_text", "b_text", "distance", (F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("jaccard"))
+    # The banded distance (-1: beyond k) is far cheaper than the shingle sets. These stand under a
+    # condition, as the optimizer would compute them for every candidate otherwise.
+    sa, sb = _shingle_set("a_text", q), _shingle_set("b_text", q)
+    counts = F.struct(F.size(F.array_intersect(sa, sb)).alias("shared"), F.size(sa).alias("na"), F.size(sb).alias("nb"))
+    pairs = pairs.withColumn("distance", F.expr("levenshtein(a_text, b_text, k)"))
+    pairs = pairs.withColumn("c", F.when(F.col("distance") >= 0, counts)).where("c is not null")
+    pairs = pairs.where(F.col("c.shared") >= F.greatest("c.na", "c.nb") - q * F.col("k"))
+    near = pairs.select("a_text", "b_text", "distance", (F.col("c.shared") / (F.col("c.na") + F.col("c.nb") - F.col("c.shared"))).alias("jaccard"))
     same = a.select("text").hint("merge").join(b.select("text").hint("merge"), "text")
     return near.unionAll(same.select(F.col("text").alias("a_text"), F.col("text").alias("b_text"), F.lit(0).alias("distance"), F.lit(1.0).alias("jaccard")))
 
