@@ -291,6 +291,11 @@ SQL = {
     "txt05_phonetics": f"""with t as (select distinct sample_id, {_TRANSLIT.replace('@', 'upper(syllabary_raw)')} as p from syllabary_samples)
 select distinct sample_id, regexp_replace(regexp_replace(regexp_replace(p, '([^ht\\s\\x{{0b}}\\x{{85}}\\p{{Z}}])s', '\\1hs', 'g'), '([aeiouvAEIOUV])([aeiouvAEIOUV])', '\\1''\\2', 'g'), '([aeiouvAEIOUV])([aeiouvAEIOUV])', '\\1''\\2', 'g') as phonetics from t""",
     "txt07_base_transliteration": f"select distinct record_id, {_TRANSLIT.replace('@', 'syllabary_text')} as base from enrichment_records where regexp_full_match(syllabary_text, '[Ꭰ-Ᏼ ]+')",
+    "txt08_glottals": r"""with t as (select distinct sample_id, regexp_replace(input_template, '[’‘ʼʻ`ʔ‚?'']+', '''', 'g') as x from syllabary_samples where input_template is not null)
+select distinct sample_id, regexp_replace(regexp_replace(x, '([b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])''', '\1', 'g'), '(^|[ \t\n\x{0b}\f\r])''([b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])', '\1\2', 'g') as text from t""",
+    "aln04_word_errors": _R + """, w as (select distinct record_id, list_filter(string_split(ref, ' '), lambda x: x <> '') as a, list_filter(string_split(hyp, ' '), lambda x: x <> '') as b from records),
+u as (select record_id, a, b, list_distinct(list_concat(a, b)) as u from w)
+select record_id, len(a) as n_words, levenshtein(array_to_string(list_transform(a, lambda x: chr(cast(32 + list_position(u, x) as integer))), ''), array_to_string(list_transform(b, lambda x: chr(cast(32 + list_position(u, x) as integer))), '')) as n_errors from u""",
     "txt10_single_vowels": _R + " select distinct record_id, " + "regexp_replace(" * 6 + "ref" + "".join(f", '{v}{v}+', '{v}', 'g')" for v in X.VOWELS) + " as text from records",
     "txt14_phonemes": _R + f""", p as (select record_id, unnest(regexp_extract_all(ref, '{_PHONEMES}')) as s, unnest(range(0, len(regexp_extract_all(ref, '{_PHONEMES}')))) as i from (select distinct record_id, ref from records))
 select {_CATS} as category, count(*) as n, count(distinct s) as n_symbols, cast(sum(length(s)) as bigint) as n_letters from p group by 1""",

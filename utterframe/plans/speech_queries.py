@@ -240,7 +240,13 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _W, _C, _R = f"with {WORDS_SQL}", f"with {CHUNKS_SQL}", f"with {RECORDS_SQL}"
+_V, _M = "[aeiouvAEIOUV]", r"[\x{300}-\x{36f}:ː0-9]"
+_HIATUS = "target_phonetics"
+for _pattern in [f"({_V}{_M}+)({_V})"] * 2 + [f"({_V})({_V}{_M})"] * 2 + [f"([{v}{v.upper()}])([{''.join(u + u.upper() for u in X.VOWELS if u != v)}])" for v in X.VOWELS]:
+    _HIATUS = f"regexp_replace({_HIATUS}, '{_pattern}', '\\1''\\2', 'g')"
+
 SQL = {
+    "txt09_hiatus": f"select distinct record_id, {_HIATUS} as text from enrichment_records where target_phonetics is not null",
     "txt21_model_names": "select distinct dataset_name, regexp_replace(regexp_replace(lower(dataset_name), '[^a-z0-9._-]+', '_', 'g'), '-', '__', 'g') as name from packaging_manifest",
     "txt24_letter_difference": _R + " select distinct record_id, array_to_string(list_sort(list_filter(list_distinct(string_split(ref, '')), lambda c: not list_contains(string_split(hyp, ''), c))), '') as lost, array_to_string(list_sort(list_filter(list_distinct(string_split(hyp, '')), lambda c: not list_contains(string_split(ref, ''), c))), '') as new from records",
     "agg04_annotated_or_all": "select split, round(coalesce(avg(case when target_phonetics is not null then raw_cer end), avg(raw_cer)) + 1e-9, 6) as cer, count(target_phonetics) as n_annotated from (select distinct * from enrichment_records) where raw_cer is not null and not isnan(raw_cer) group by split",
