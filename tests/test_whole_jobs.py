@@ -68,6 +68,53 @@ def test_segments_do_not_depend_on_blocks(spark):
             assert sorted(map(tuple, speech_segments(df, "s", "t", "v", 5.0, block=block, **rule).collect())) == sorted(want)
 
 
+def _spoken(data, level, **rule):
+    from utterframe.streaming.speech import advance, SpeechState
+
+    by = {}
+    for s, t, v in sorted(data, key=lambda r: (r[0], r[1], r[2] >= level)):
+        by.setdefault(s, []).append((t, v))
+    want = []
+    for s, frames in by.items():
+        state = SpeechState()
+        want += [(s, *x) for x in advance(state, frames, level, **rule)]
+        if state.speaking and state.last - state.first + 1 >= rule["least_frames"]:
+            want.append((s, state.first, state.last))
+    return sorted(want)
+
+
+def test_segments_do_not_depend_on_batches(spark):
+    import random
+
+    from utterframe.streaming.speech import speech_segments
+
+    rng, data = random.Random(5), []
+    for s in range(24):
+        share, n = rng.choice([0.05, 0.3, 0.5, 0.9, 0.0, 1.0]), rng.choice([1, 5, 40, 200])
+        data += [(f"s{s}", rng.randrange(-40, 400), rng.choice([9.0, 5.0]) if rng.random() < share else rng.choice([0.0, float("nan")])) for _ in range(n)]
+    df, name = spark.createDataFrame(data, "s string, t long, v double"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for rule in ({"start_frames": 2, "stop_frames": 2, "least_frames": 1}, {"start_frames": 3, "stop_frames": 10, "least_frames": 5}, {"start_frames": 4, "stop_frames": 1, "least_frames": 30}, {"start_frames": 1, "stop_frames": 3, "least_frames": 2}):
+        want = _spoken(data, 5.0, **rule)
+        for block, rows in ((3, 1), (60, 7)):
+            spark.conf.set(name, rows)
+            try:
+                assert sorted(map(tuple, speech_segments(df, "s", "t", "v", 5.0, block=block, **rule).collect())) == want
+            finally:
+                spark.conf.unset(name)
+
+
+def test_segments_of_many_sparse_recordings(run, spark):
+    """Recordings whose few frames lie far apart: a call of Python for each block of places takes too long."""
+    import time
+
+    rows = spark.range(12_000).selectExpr("id % 1000 as user_id", "id * 170 as event_id", "if(id div 1000 in (2, 3, 4, 9, 10), 90d, 1d) as value")
+    data = rows.collect(), rows.schema
+    began = time.time()
+    got = run("str02_speech_segments", events=data)
+    assert got == sorted(((str(u), (u + k * 1_000) * 170, (u + j * 1_000) * 170) for u in range(1_000) for k, j in ((2, 4), (9, 10))), key=str)
+    assert time.time() - began < 15
+
+
 def test_every_profile_has_a_column(run):
     import datetime
 
